@@ -1,4 +1,8 @@
-"""Notice dates: normalising, parsing, archive month."""
+"""Notice dates: normalising, parsing, archive month.
+
+Each step mentions its input once or twice only. Catalyst inlines expressions when it merges
+projections and pushes filters, so a step that repeats its input would multiply with the next.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +11,24 @@ from pyspark.sql import functions as F
 
 from noticelake.functions.text import WS
 
+# Three parts of which the first has two bytes.
+_SHORT_YEAR = r"(?s)^([\x00-\x2c\x2e-\x7f]{2}|[\x{80}-\x{7ff}])-([^-]*)-([^-]*)\z"
 _NUMBERS = rf"^{WS}*[0-9]{{1,4}}-{WS}*[0-9]{{1,2}}-{WS}*[0-9]{{1,2}}\z"
+_ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
 
 def _dashed(raw: Column, strip_trailing_sep: bool) -> Column:
     dashed = F.translate(raw, "./", "--")
     if strip_trailing_sep:
         dashed = F.regexp_replace(dashed, rf"[-]+{WS}*$", "")
-    three_parts = F.size(F.split(dashed, "-")) == 3
-    short_year = F.octet_length(F.substring_index(dashed, "-", 1)) == 2
-    return F.when(three_parts & short_year, F.concat(F.lit("20"), dashed)).otherwise(dashed)
+    return F.regexp_replace(dashed, _SHORT_YEAR, "20$1-$2-$3")
 
 
 def _calendar_date(dashed: Column) -> Column:
     """DATE of ``y-m-d`` text, NULL if it is none."""
-    compact = F.regexp_replace(dashed, WS, "")
-    padded = F.lpad(compact, F.length(compact) + 5 - F.instr(compact, "-"), F.lit("0"))
-    return F.when(dashed.rlike(_NUMBERS), padded.try_cast("date"))
+    compact = F.regexp_replace(F.regexp_extract(dashed, _NUMBERS, 0), WS, "")
+    # A cast wants four digits or more in a year.
+    return F.regexp_replace(compact, "^([0-9]{1,3})-", "000$1-").try_cast("date")
 
 
 def parse_date(raw: Column, strip_trailing_sep: bool = False) -> Column:
@@ -40,10 +45,19 @@ def normalize_date(raw: Column, strip_trailing_sep: bool = False) -> Column:
     return F.coalesce(_calendar_date(dashed).cast("string"), dashed)
 
 
+def iso_date(date: Column) -> Column:
+    """DATE of a normalised date, NULL where it was not readable."""
+    return F.regexp_extract(date, _ISO, 0).try_cast("date")
+
+
+def archive_day(date: Column, as_of: str) -> Column:
+    """Day whose month a normalised date belongs to; unreadable dates go with ``as_of``."""
+    return F.coalesce(iso_date(date), F.lit(as_of).cast("date"))
+
+
 def archive_year(date: Column, as_of: str) -> Column:
-    """Year of a date; unreadable dates belong to the month of ``as_of``."""
-    return F.year(F.coalesce(parse_date(date), F.lit(as_of).cast("date")))
+    return F.year(archive_day(date, as_of))
 
 
 def archive_month(date: Column, as_of: str) -> Column:
-    return F.month(F.coalesce(parse_date(date), F.lit(as_of).cast("date")))
+    return F.month(archive_day(date, as_of))

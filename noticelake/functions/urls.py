@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -54,70 +54,79 @@ def _authority(raw: Column, scheme: Column) -> Column:
     ).otherwise(low)
 
 
-def with_resolved_url(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
-    """Add column ``out``: ``href`` made absolute against the absolute URL in ``base``.
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def resolve_url(base: Column, href: Column) -> Column:
+    """``href`` made absolute against the absolute URL ``base``.
 
     An empty href gives the base itself. A link that cannot be joined stays unchanged, and
     NULL comes back only where the base is no absolute URL.
     """
-    b, h = F.col("_base"), F.col("_href")
-    df = df.withColumns(
-        {"_base": F.regexp_replace(F.col(base), _ENDS, ""),
-         "_href": F.regexp_replace(F.col(href), _ENDS, "")}
-    ).withColumns(
-        {
-            "_scheme": F.lower(F.regexp_extract(b, _SCHEME, 1)),
-            "_auth": F.regexp_extract(b, _ORIGIN, 1),
-            "_path": F.regexp_extract(b, _PATH, 1),
-            "_hscheme": F.lower(F.regexp_extract(h, _SCHEME, 1)),
-        }
-    )
-    scheme, hscheme = F.col("_scheme"), F.col("_hscheme")
-    web = hscheme.isin("http", "https")
-    absolute = (
-        F.when(web & h.rlike(r"^[A-Za-z]+://"), h)
-        .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-    )
-    base_path = F.when(F.col("_path") == "", F.lit("/")).otherwise(F.col("_path"))
-    rel_path = F.regexp_extract(h, r"^([^?#]*)", 1)
-    rel_rest = F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
-    base_query = F.regexp_extract(b, r"^[^?#]*(\?[^#]*)", 1)
-    folder = F.regexp_extract(base_path, r"^(.*/)", 1)
-    df = df.withColumns(
-        {
-            "_abs": absolute,
-            "_tpath": F.when(absolute.isNotNull(), F.regexp_extract(absolute, _PATH, 1))
-            .when(rel_path == "", base_path)
-            .when(rel_path.startswith("/"), rel_path)
-            .otherwise(F.concat(folder, rel_path)),
-            "_trest": F.when(
-                absolute.isNotNull(), F.regexp_extract(absolute, r"^[^?#]*(.*)$", 1)
-            )
-            .when((rel_path == "") & ~rel_rest.startswith("?"), F.concat(base_query, rel_rest))
-            .otherwise(rel_rest),
-        }
-    )
-    target_scheme = F.when(
-        F.col("_abs").isNotNull(), F.lower(F.regexp_extract(F.col("_abs"), _SCHEME, 1))
-    ).otherwise(scheme)
-    target_auth = F.when(
-        F.col("_abs").isNotNull(), F.regexp_extract(F.col("_abs"), _ORIGIN, 1)
-    ).otherwise(F.col("_auth"))
-    tpath = F.when(F.col("_tpath") == "", F.lit("/")).otherwise(F.col("_tpath"))
-    joined = F.concat(
-        target_scheme,
-        F.lit("://"),
-        _authority(target_auth, target_scheme),
-        _percent_encoded(_without_dots(tpath)),
-        _percent_encoded(F.col("_trest")),
-    )
-    bad_host = ~target_auth.rlike(r"^[^\s<>^|%]+\z")
-    resolved = (
-        F.when(F.col("_auth") == "", F.lit(None).cast("string"))
-        .when((hscheme != "") & F.col("_abs").isNull(), h)
-        .when(bad_host, F.col(href))
-        .otherwise(joined)
-    )
-    return df.withColumn(out, resolved).drop(
-        "_base", "_href", "_scheme", "_auth", "_path", "_hscheme", "_abs", "_tpath", "_trest"
+
+    def split(v: Column) -> Column:
+        b, h = v["b"], v["h"]
+        path = F.regexp_extract(b, _PATH, 1)
+        scheme, hscheme = (F.lower(F.regexp_extract(x, _SCHEME, 1)) for x in (b, h))
+        absolute = F.when(h.rlike(r"^(?i:https?)://"), h).when(
+            h.startswith("//"), F.concat(scheme, F.lit(":"), h)
+        )
+        return F.struct(
+            h.alias("h"),
+            scheme.alias("scheme"),
+            F.regexp_extract(b, _ORIGIN, 1).alias("auth"),
+            F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
+            F.regexp_extract(b, r"^[^?#]*(\?[^#]*)", 1).alias("query"),
+            hscheme.alias("hscheme"),
+            absolute.alias("abs"),
+            F.regexp_extract(h, r"^([^?#]*)", 1).alias("hpath"),
+            F.regexp_extract(h, r"^[^?#]*(.*)$", 1).alias("hrest"),
+        )
+
+    def target(p: Column) -> Column:
+        far = p["abs"].isNotNull()
+        folder = F.regexp_extract(p["path"], r"^(.*/)", 1)
+        path = (
+            F.when(far, F.regexp_extract(p["abs"], _PATH, 1))
+            .when(p["hpath"] == "", p["path"])
+            .when(p["hpath"].startswith("/"), p["hpath"])
+            .otherwise(F.concat(folder, p["hpath"]))
+        )
+        keeps_query = (p["hpath"] == "") & ~p["hrest"].startswith("?")
+        rest = (
+            F.when(far, F.regexp_extract(p["abs"], r"^[^?#]*(.*)$", 1))
+            .when(keeps_query, F.concat(p["query"], p["hrest"]))
+            .otherwise(p["hrest"])
+        )
+        return F.struct(
+            F.when(far, F.lower(F.regexp_extract(p["abs"], _SCHEME, 1)))
+            .otherwise(p["scheme"])
+            .alias("scheme"),
+            F.when(far, F.regexp_extract(p["abs"], _ORIGIN, 1)).otherwise(p["auth"]).alias("auth"),
+            F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
+            rest.alias("rest"),
+            (p["auth"] == "").alias("no_base"),
+            F.when((p["hscheme"] != "") & ~far, p["h"]).alias("opaque"),
+        )
+
+    def joined(t: Column) -> Column:
+        url = F.concat(
+            t["scheme"],
+            F.lit("://"),
+            _authority(t["auth"], t["scheme"]),
+            _percent_encoded(_without_dots(t["path"])),
+            _percent_encoded(t["rest"]),
+        )
+        return (
+            F.when(t["no_base"], F.lit(None).cast("string"))
+            .when(t["opaque"].isNotNull(), t["opaque"])
+            .when(~t["auth"].rlike(r"^[^\s<>^|%]+\z"), href)
+            .otherwise(url)
+        )
+
+    ends = F.struct(
+        F.regexp_replace(base, _ENDS, "").alias("b"), F.regexp_replace(href, _ENDS, "").alias("h")
     )
+    return _let(_let(_let(ends, split), target), joined)

@@ -10,7 +10,6 @@ _QUERY_SPACE = "".join(
     map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B),
               0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
 )
-)
 
 
 def filter_exact(notices: DataFrame, column: str, value: str | None) -> DataFrame:

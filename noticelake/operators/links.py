@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticelake.config import CmsPattern, Discovery, Keyword, Selectors
-from noticelake.functions.urls import host, with_resolved_url
+from noticelake.functions.urls import host, resolve_url
 from noticelake.operators.dedupe import first_per_key
 from noticelake.functions.text import strip_ws
 from noticelake.sources.html_nodes import node_text, parse_pages
@@ -34,7 +34,7 @@ def extract_links(pages: DataFrame, base: str = "url", html: str = "html") -> Da
     keep = [c for c in parsed.columns if c != "nodes"]
     links = parsed.select(*keep, F.inline(_link_array(F.col("nodes"))))
     links = links.withColumn("text", strip_ws(F.col("raw_text")))
-    return with_resolved_url(links, base, "href", "link_url")
+    return links.withColumn("link_url", resolve_url(F.col(base), F.col("href")))
 
 
 def href_not_blacklisted(href: Column, blacklist: Sequence[str]) -> Column:

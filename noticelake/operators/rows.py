@@ -15,7 +15,7 @@ from noticelake.functions.selectors import (
     selector_supported,
 )
 from noticelake.functions.text import clean_date, clean_title, has_title, strip_ws
-from noticelake.functions.urls import with_resolved_url
+from noticelake.functions.urls import resolve_url
 from noticelake.sources.html_nodes import node_text, parse_pages
 
 BOARD_KEY = ("campus", "college", "department_id", "board_url")
@@ -113,7 +113,9 @@ def extract_notice_rows(
         "ok",
         F.col("row_pos").isNotNull() & F.col("raw_date").isNotNull() & has_title(F.col("title")),
     )
-    return with_resolved_url(rows, "board_url", "raw_link", "link").drop("raw_title", "raw_date", "raw_author")
+    return rows.withColumn("link", resolve_url(F.col("board_url"), F.col("raw_link"))).drop(
+        "raw_title", "raw_date", "raw_author"
+    )
 
 
 def row_accounting(rows: DataFrame, key=BOARD_KEY) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.config import Breaker
-from noticelake.functions.dates import archive_month, archive_year
+from noticelake.functions.dates import archive_day
 
 ADDED, UPDATED, REMOVED = "added", "updated", "removed"
 
@@ -104,13 +104,16 @@ def circuit_breaker(
 
 
 def month_partition(notices: DataFrame, as_of: str, date: str = "date") -> DataFrame:
-    """Add ``year, month, is_hot``. Unreadable dates belong to the month of ``as_of``; every
-    other month, also a future one, is cold."""
-    now = F.lit(as_of).cast("date")
-    return (
-        notices.withColumn("year", archive_year(F.col(date), as_of))
-        .withColumn("month", archive_month(F.col(date), as_of))
-        .withColumn("is_hot", (F.col("year") == F.year(now)) & (F.col("month") == F.month(now)))
+    """Add ``year, month, is_hot`` from the normalised date. Unreadable dates belong to the
+    month of ``as_of``; every other month, also a future one, is cold."""
+    day = archive_day(F.col(date), as_of)
+    this_month = F.trunc(F.lit(as_of).cast("date"), "MM")
+    return notices.withColumns(
+        {
+            "year": F.year(day),
+            "month": F.month(day),
+            "is_hot": F.trunc(day, "MM") == this_month,
+        }
     )
 
 
