@@ -27,14 +27,14 @@ from noticelake.operators import links as ln
 from noticelake.operators import rows as rw
 from noticelake.operators import snapshot as sn
 from noticelake.operators import stats as st
-from noticelake.operators.dedupe import dedupe_first, first_per_key, id_collisions
+from noticelake.operators.dedupe import dedupe_first, first_per_key, id_collisions, with_html
 from noticelake.plans.commit import commit_snapshot, merge_archive
 from noticelake.plans.crawl import run_crawl
 from noticelake.plans.feed import feed
 from noticelake.plans.map_sites import run_map
 from noticelake.plans.run import run_pipeline
 from noticelake.schemas import BOARDS
-from noticelake.session import scratch_path
+from noticelake.session import scratch_path, spread
 from noticelake.sources import sitemap as sm
 from noticelake.sources.html_nodes import extract_elements
 from noticelake.sources.lake import ARCHIVE, NoticeLake
@@ -246,6 +246,14 @@ def q09_month_partition(spark, d):
     )
 
 
+def _stored(spark, frame: DataFrame) -> DataFrame:
+    """The frame as a written table: an operator that reads its input more than once does not
+    compute it again."""
+    path = scratch_path(spark, "stored")
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def _cold(spark, n: DataFrame) -> DataFrame:
     return sn.month_partition(n, v.AS_OF).filter(~F.col("is_hot")).select(*ARCHIVE.names)
 
@@ -253,7 +261,8 @@ def _cold(spark, n: DataFrame) -> DataFrame:
 @query
 def q10_archive_merge(spark, d):
     lake = NoticeLake(spark, scratch_path(spark, "archive"))
-    for run in _two_runs(spark, d):
+    n = _stored(spark, v.notices(spark, d))
+    for run in (v.earlier_run(n), v.later_run(n)):
         merge_archive(_cold(spark, run), lake)
     return lake.archive().select(
         "notice_key", "title",
@@ -264,7 +273,7 @@ def q10_archive_merge(spark, d):
 @query
 def q10b_read_archives(spark, d):
     lake = NoticeLake(spark, scratch_path(spark, "archive"))
-    merge_archive(_cold(spark, v.notices(spark, d)), lake)
+    merge_archive(_stored(spark, _cold(spark, v.notices(spark, d))), lake)
     read = lake.read_archives([(2001, 6), (2001, 5), (1901, 1)]).unionByName(
         lake.read_archive(2000, 12)
     )
@@ -273,7 +282,7 @@ def q10b_read_archives(spark, d):
 
 @query
 def q11_month_backfill(spark, d):
-    parts = sn.month_partition(v.notices(spark, d), v.AS_OF)
+    parts = _stored(spark, sn.month_partition(v.notices(spark, d), v.AS_OF))
     # Newest pages also list what the month before already had.
     hot = parts.filter("is_hot OR (year = 2001 AND month = 6 AND status = 'F')")
     pages = fd.month_backfill(hot, parts.filter(~F.col("is_hot")))
@@ -302,7 +311,7 @@ def _part_notices(spark, d) -> DataFrame:
 
 
 def _document_notices(spark, d) -> DataFrame:
-    doc = v.table(spark, d, "documents")
+    doc = spread(v.table(spark, d, "documents"))
     return doc.select(
         F.col("doc_id").cast("string").alias("id"),
         F.regexp_replace("text", r"[^\p{L}\p{Nd}]+", " ").alias("title"),
@@ -529,7 +538,7 @@ _DOC_RULES = Cleaning(title_removals=("the ", "on"), date_removals=("an",),
 @query
 def q23_clean_text(spark, d):
     t = F.col("text")
-    return v.table(spark, d, "documents").select(
+    return spread(v.table(spark, d, "documents")).select(
         "doc_id",
         F.md5(text.normalize_ws(t)).alias("normalized"),
         F.md5(text.clean_title(t, _DOC_RULES)).alias("title"),
@@ -623,7 +632,7 @@ def q26c_selector_errors(spark, d):
 
 
 def _commit_runs(spark, d, root: str) -> None:
-    n = v.notices(spark, d)
+    n = _stored(spark, v.notices(spark, d))
     runs = {"r1": v.earlier_run(n), "r2": v.later_run(n).filter("status = 'F'"), "r3": v.later_run(n)}
     for run_id, run in runs.items():
         commit_snapshot(spark, run, root, run_id, v.AS_OF)
@@ -653,13 +662,13 @@ def _site_config(spark, d) -> tuple[Config, DataFrame, DataFrame, str]:
     path = scratch_path(spark, "site")
     v.site_pages(spark, d).write.parquet(path)
     config = Config(cleaning=SHIPPED_CLEANING)
-    return config, v.site_seeds(spark, d), spark.read.parquet(path), path
+    return config, v.site_seeds(spark, d), read_pages(spark, path), path
 
 
 @query
 def q18_heading_segments(spark, d):
     config, seeds, pages, _ = _site_config(spark, d)
-    seed_pages = seeds.join(pages, "url")
+    seed_pages = with_html(seeds, pages, "url")
     elements = dep.heading_elements(seed_pages.select("campus", "html"), key="campus")
     found = dep.segment_headings(elements, config.discovery, key="campus")
     return found.select("campus", "college", "department", "url")
@@ -761,7 +770,8 @@ def q25b_stream_normalize(spark, d):
 @query
 def q25c_stream_commit(spark, d):
     work = scratch_path(spark, "stream")
-    runs = list(_two_runs(spark, d))
+    n = _stored(spark, v.notices(spark, d))
+    runs = [v.earlier_run(n), v.later_run(n)]
     columns = [c for c in ARCHIVE.names if c not in ("year", "month")]
     for run in runs:
         run.select(*columns).write.mode("append").parquet(f"{work}/in")

@@ -9,6 +9,7 @@ from noticelake.config import SHIPPED_CLEANING, Cleaning
 from noticelake.functions.dates import normalize_date
 from noticelake.functions.text import clean_title
 from noticelake.operators.rows import identify
+from noticelake.session import spread
 
 # The run date of all queries that need one.
 AS_OF = "2001-07-15"
@@ -34,7 +35,7 @@ def _raw_date(key: Column, date: Column) -> Column:
 
 def raw_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their customer's place: one raw notice per order."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
@@ -129,7 +130,7 @@ _HOME = ("http://d", ".example.ac.kr/")
 
 
 def _site_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     block = F.floor(F.col("o_orderkey") / 1000).cast("long")
     host = F.concat("c_custkey", F.lit("b"), block)
@@ -302,9 +303,10 @@ def site_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _site_orders(spark, sf_dir)
-    return (
+    pages = (
         _seed_pages(o)
         .unionByName(_home_pages(o))
         .unionByName(_sitemap_pages(o))
         .unionByName(_board_pages(o))
     )
+    return pages.select(F.xxhash64("url").alias("page_id"), "url", "html")

@@ -12,6 +12,11 @@ from noticelake.config import Cleaning, IndexRules
 # Unicode White_Space. Java's \s knows only the ASCII part.
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+_WS_CHARS = "".join(
+    map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
 # Unicode word segmentation as one pattern. Han, Hiragana and the South East Asian scripts
 # break between characters; Katakana stays in runs; inner punctuation joins only between
 # letters or only between digits.
@@ -34,7 +39,7 @@ STOPWORDS = (
 
 def strip_ws(text: Column) -> Column:
     """Both ends without Unicode white space."""
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(_WS_CHARS))
 
 
 def normalize_ws(text: Column) -> Column:

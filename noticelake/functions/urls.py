@@ -54,6 +54,15 @@ def _authority(raw: Column, scheme: Column) -> Column:
     ).otherwise(low)
 
 
+# The usual case: a plain path from the root on a plain web address. No part can repeat, so
+# matching is linear.
+_PLAIN_ORIGIN = r"^https?://[a-z0-9.-]++(?=[/?#]|\z)"
+_PLAIN_HREF = (
+    r"^/(?:[A-Za-z0-9_~,-][A-Za-z0-9_.~,-]*+/?+)*+"
+    r"(?:\?[A-Za-z0-9_.~,=&%/:;+-]*+)?+\z"
+)
+
+
 def _let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -129,4 +138,8 @@ def resolve_url(base: Column, href: Column) -> Column:
     ends = F.struct(
         F.regexp_replace(base, _ENDS, "").alias("b"), F.regexp_replace(href, _ENDS, "").alias("h")
     )
-    return _let(_let(_let(ends, split), target), joined)
+    plain = F.concat(
+        F.nullif(F.regexp_extract(base, _PLAIN_ORIGIN, 0), F.lit("")),
+        F.nullif(F.regexp_extract(href, _PLAIN_HREF, 0), F.lit("")),
+    )
+    return F.coalesce(plain, _let(_let(_let(ends, split), target), joined))

@@ -41,3 +41,20 @@ def join_dimension(
     """
     small = dimension.limit(max_rows + 1).count() <= max_rows
     return fact.join(F.broadcast(dimension) if small else dimension, on, how)
+
+
+def with_html(owners: DataFrame, pages: DataFrame, url: str) -> DataFrame:
+    """Stored rows with the html of the page in their column ``url``; rows without one go.
+
+    The owners travel to the pages while their number is within the bound: html is what must
+    not be shuffled.
+    """
+    return join_dimension(pages.select(F.col("url").alias(url), "html"), owners, url, "inner")
+
+
+def without_page(owners: DataFrame, pages: DataFrame, url: str) -> DataFrame:
+    """Stored rows whose page is not there. Only page URLs are read."""
+    seen = join_dimension(
+        pages.select(F.col("url").alias(url)), owners.select(url).distinct(), url, "left_semi"
+    )
+    return owners.join(seen.distinct(), url, "left_anti")

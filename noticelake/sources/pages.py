@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.schemas import PAGES
+from noticelake.session import spread
 
 MAX_BODY_BYTES = 2_000_000
 TRANSPORT_ERRORS = ("timeout", "connect", "request")
@@ -13,8 +14,9 @@ TRANSPORT_ERRORS = ("timeout", "connect", "request")
 
 def read_pages(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Pages ``(page_id, url, html)``; one row per URL."""
-    reader = spark.readStream if stream else spark.read
-    return reader.schema(PAGES).parquet(path)
+    if stream:
+        return spark.readStream.schema(PAGES).parquet(path)
+    return spread(spark.read.schema(PAGES).parquet(path))
 
 
 def fetch_outcome(
