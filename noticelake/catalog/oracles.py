@@ -222,6 +222,13 @@ SELECT page_id, pos, NOT contains(href, 'the') AND NOT contains(href, '/de') AS
        length(text) <= 5 AS short, NOT contains(href, 'javascript') AND href <> '#' AS navigable,
        true AS same_host, {_HOST} AS host FROM links"""
 ORACLES["q14c_board_links"] = f"WITH {_LINKS}, {_GOOD} SELECT page_id, pos, text, href FROM good"
+ORACLES["q14d_elements"] = f"""WITH {_LINKS},
+per_page AS (SELECT page_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars
+             FROM links GROUP BY page_id)
+SELECT page_id, tag, CASE WHEN tag IN ('a', 'li') THEN n ELSE 1 END AS elements, chars AS text_length
+FROM per_page, (VALUES ('a'), ('li'), ('ul'), ('nav')) AS t(tag)
+UNION ALL SELECT page_id, 'h1', 1,
+  length(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) FROM pages"""
 ORACLES["q15_dedupe_links"] = f"""WITH {_LINKS}
 SELECT {_HOST} AS host, href, page_id, pos FROM links
 QUALIFY row_number() OVER (PARTITION BY {_HOST}, link_url ORDER BY page_id, pos) = 1"""

@@ -19,6 +19,8 @@ def build_session(app_name: str = "noticelake", master: str | None = None, **con
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Pages can be megabytes each: keep Arrow batches of html small.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+        # Recording a source line per column costs seconds in plans with long expressions.
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
     )
     if master:
         builder = builder.master(master)

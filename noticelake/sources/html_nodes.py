@@ -231,12 +231,13 @@ def parse_pages(
     html: str = "html",
     tags: tuple[str, ...] | None = None,
     flush_nodes: int = 200_000,
+    flush_chars: int = 16_000_000,
 ) -> DataFrame:
     """Replace the html column by ``nodes``; all other columns pass through.
 
     ``tags`` keeps only those elements and the text inside them: a job that needs links does
-    not carry the rest of the tree out of Python. Output batches are cut by node count, so
-    memory follows the page size and not the batch size.
+    not carry the rest of the tree out of Python. Output batches are cut by nodes and html
+    length, so memory follows the page size and not the batch size.
     """
     wanted = frozenset(tags) if tags is not None else None
     rest = [f for f in pages.schema if f.name != html]
@@ -246,14 +247,17 @@ def parse_pages(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             source = batch.column(batch.schema.get_field_index(html))
-            start, nodes = 0, _NodeColumn()
+            start, chars, nodes = 0, 0, _NodeColumn()
             for i in range(batch.num_rows):
-                nodes.add(source[i].as_py(), wanted)
-                if len(nodes) >= flush_nodes or i == batch.num_rows - 1:
+                page = source[i].as_py()
+                nodes.add(page, wanted)
+                chars += len(page or "")
+                full = len(nodes) >= flush_nodes or chars >= flush_chars
+                if full or i == batch.num_rows - 1:
                     part = batch.slice(start, i + 1 - start)
                     columns = [part.column(part.schema.get_field_index(n)) for n in names]
                     yield pa.RecordBatch.from_arrays(columns + [nodes.build()], names + ["nodes"])
-                    start, nodes = i + 1, _NodeColumn()
+                    start, chars, nodes = i + 1, 0, _NodeColumn()
 
     return pages.mapInArrow(run, schema)
 
