@@ -710,7 +710,7 @@ def q28e_crawl_outcome(spark, d):
 
 
 @query
-def q28f_pipeline(spark, d):
+def q28f_full_run(spark, d):
     config, seeds, pages, _ = _site_config(spark, d)
     root = scratch_path(spark, "lake")
     run_pipeline(spark, seeds, pages, root, "r1", v.AS_OF, config)
