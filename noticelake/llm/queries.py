@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from noticelake.llm import recompression, suffixes
+from noticelake.llm import recompression, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +30,12 @@ def op3_suffix_dedup(spark, d):
 @query
 def op8_substring_dedup(spark, d):
     return recompression.dedup_substrings(_table(spark, d, "documents"))
+
+
+@query
+def op4_simhash_near_dedup(spark, d):
+    return simhash.near_duplicates(_table(spark, d, "documents")).select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
