@@ -5,9 +5,10 @@ and then pairs (a symbol of the left class followed by one of the right class, t
 bit of the symbols' hashes). A name is a 64-bit hash of what it stands for, so names are global:
 equal runs and pairs get equal names in every task without a shuffle for each round. Inside a
 window, symbols near its ends may hang on the words outside; they are given up round by round by
-rules that look at the window alone. The highest round in which a symbol is left gives the
-window's anchor, so equal windows have the same symbol at the same place. Shared symbols reveal
-repeats, hashes of all words verify them.
+rules that look at the window alone. The last of ``ROUNDS`` rounds in which ``CHAIN`` sure symbols
+are left gives the window's anchor: its chain of symbols with the smallest hash. Equal windows
+have the same chain at the same place. Shared chains reveal repeats, hashes of all words verify
+them.
 
 Defined results: null and empty texts have no words; texts are taken whole at any length; rows
 with one doc_id are one document, rows without one are known by their text; an empty table gives
@@ -25,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.llm import tokens as tk
-from noticelake.llm.repeats import kept_words, repeated_runs, word_spans
+from noticelake.llm.repeats import kept_words, repeated_runs, with_spans, word_spans
 
 LENGTH = 20
-MAX_ROUNDS = 40
+ROUNDS = 2
+CHAIN = 4
+_PLACE_BITS = 28
 _U = np.uint64
 
 
@@ -66,27 +69,55 @@ def _name_pairs(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int):
     return y[kept], np.cumsum(kept, dtype=np.int32) - 1, lo, hi
 
 
+def _smallest(x: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """For each stretch [lo, hi] of symbols its chain of ``CHAIN`` symbols with the smallest hash."""
+    at = np.arange(len(x) - CHAIN + 1)
+    chains = tk.WORDS.of(tk.WORDS.prefix(x), at, at + CHAIN)
+    low = _U((1 << _PLACE_BITS) - 1)
+    table = [(chains & ~low) | at.astype(_U)]  # leftmost on a tie
+    choices = hi - lo + 2 - CHAIN
+    while 2 << len(table) - 1 <= choices.max(initial=1):
+        half = 1 << len(table) - 1
+        table.append(np.minimum(table[-1][:-half], table[-1][half:]))
+    best = np.empty(len(lo), _U)
+    power = np.frexp(choices)[1] - 1
+    for k in range(len(table)):
+        mine = power == k
+        left = lo[mine]
+        best[mine] = np.minimum(table[k][left], table[k][left + choices[mine] - (1 << k)])
+    place = (best & low).astype(np.int64)
+    return place, chains[place]
+
+
 def symbols(hashes: np.ndarray, starts: np.ndarray, length: int):
-    """For each window the place and the name of its highest inner symbol."""
+    """For each window the place and the name of its anchor."""
     x, lo, hi = hashes, starts, starts + length - 1
     place, name = np.empty(len(starts), np.int64), np.empty(len(starts), _U)
     alive = np.arange(len(starts))
-    for level in range(MAX_ROUNDS):
-        place[alive] = np.int64(level << 40) + lo
-        name[alive] = tk.mix(x[lo] + _U(level))
-        more = lo < hi
-        if not more.any():
-            break
-        x2, index, lo, hi = _name_runs(x, lo[more], hi[more])
-        alive = alive[more]
-        sure = lo <= hi
-        alive, lo, hi = alive[sure], index[lo[sure]], index[hi[sure]]
-        x, index, lo, hi = _name_pairs(x2, lo, hi, level)
-        sure = lo <= hi
-        alive, lo, hi = alive[sure], index[lo[sure]], index[hi[sure]]
+    level = 0
+    while True:
+        # Windows that the next round would leave without a chain are settled in this one.
+        after, lo2, hi2 = None, lo[:0], hi[:0]
+        enough = np.zeros(len(alive), bool)
+        if level < ROUNDS:
+            more = np.flatnonzero(lo < hi)
+            y, index, lo2, hi2 = _name_runs(x, lo[more], hi[more])
+            sure = lo2 <= hi2
+            more, lo2, hi2 = more[sure], index[lo2[sure]], index[hi2[sure]]
+            after, index, lo2, hi2 = _name_pairs(y, lo2, hi2, level)
+            sure = lo2 <= hi2
+            more, lo2, hi2 = more[sure], index[lo2[sure]], index[hi2[sure]]
+            sure = hi2 - lo2 + 1 >= CHAIN
+            enough[more[sure]] = True
+            lo2, hi2 = lo2[sure], hi2[sure]
+        if not enough.all():
+            at, names = _smallest(x, lo[~enough], hi[~enough])
+            place[alive[~enough]] = np.int64(level << 40) + at
+            name[alive[~enough]] = tk.mix(names + _U(level))
+        alive, x, lo, hi = alive[enough], after, lo2, hi2
+        level += 1
         if not len(alive):
-            break
-    return place, name
+            return place, name
 
 
 def substring_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -124,7 +155,7 @@ def _digests(batches: Iterator[pa.RecordBatch]):
 def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document the number of words, of removed words, and the digest of the kept ones."""
     keyed = tk.document_key(docs.select("doc_id", "text"))
-    joined = keyed.join(substring_spans(keyed, length), "_key", "left").select("doc_id", "text", "spans")
+    joined = with_spans(keyed, substring_spans(keyed, length)).select("doc_id", "text", "spans")
     return joined.mapInArrow(
         _digests, "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )
@@ -135,5 +166,5 @@ def kept_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     from noticelake.llm.suffixes import _cut
 
     keyed = tk.document_key(docs)
-    joined = keyed.join(substring_spans(keyed, length), "_key", "left").drop("_key")
+    joined = with_spans(keyed, substring_spans(keyed, length)).drop("_key")
     return joined.mapInArrow(_cut, docs.schema)

@@ -155,10 +155,11 @@ def _windows(length: int):
     return emit
 
 
-def _having(bitmap):
+def _having(bitmap, wanted: bool = True):
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            yield batch.filter(pa.array(maybe_in(bitmap.value, batch.column("_key").to_numpy())))
+            found = maybe_in(bitmap.value, batch.column("_key").to_numpy())
+            yield batch.filter(pa.array(found == wanted))
 
     return emit
 
@@ -222,6 +223,18 @@ def word_spans(runs: DataFrame, length: int) -> DataFrame:
     return spans.mapInArrow(_merged, "_key long, spans array<struct<b:int,e:int>>")
 
 
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``docs`` (with _key) and the ``spans`` of each, null where there are none.
+
+    Only documents that may have spans are shuffled to them.
+    """
+    spans = stored(spans, "spans")
+    found = docs.sparkSession.sparkContext.broadcast(bitmap_of(spans, "_key"))
+    some = docs.mapInArrow(_having(found), docs.schema).join(spans, "_key", "left")
+    none = docs.mapInArrow(_having(found, False), docs.schema)
+    return some.unionByName(none, allowMissingColumns=True)
+
+
 def _merged(batches: Iterator[pa.RecordBatch]):
     kind = pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))
     for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.llm import tokens as tk
-from noticelake.llm.repeats import kept_words, repeated_runs, word_spans
+from noticelake.llm.repeats import kept_words, repeated_runs, with_spans, word_spans
 
 LENGTH = 50
 SEED = 8
@@ -93,5 +93,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated passages cut out of their texts. All rows stay."""
     keyed = tk.document_key(docs)
     spans = word_spans(repeated_runs(keyed, length, minimisers), length)
-    joined = keyed.join(spans, "_key", "left").drop("_key")
+    joined = with_spans(keyed, spans).drop("_key")
     return joined.mapInArrow(_cut, docs.schema)
