@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import packing, recompression, simhash, suffixes
+from noticelake.llm import decontaminate, language, packing, quality, recompression, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,25 @@ def op4_simhash_near_dedup(spark, d):
 @query
 def op5_packing(spark, d):
     return packing.pack(_table(spark, d, "documents"))
+
+
+@query
+def op1_quality_classifier(spark, d):
+    documents = _table(spark, d, "documents")
+    model = quality.train(documents, _table(spark, d, "labels"))
+    rows = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", quality.held_out().alias("held_out"))
+    return quality.scored(rows, model).select(
+        "doc_id", "held_out", "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op2_benchmark_decontamination(spark, d):
+    return decontaminate.overlaps(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+
+
+@query
+def op9_language_id(spark, d):
+    documents = _table(spark, d, "documents")
+    return language.identify(documents, language.train(documents))

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from noticelake.llm import tokens as tk
 from noticelake.llm.bitmaps import bitmap_of, maybe_in
@@ -180,7 +181,7 @@ def repeated_runs(docs: DataFrame, length: int, anchors: Anchors) -> DataFrame:
     different = runs.groupBy("a", "c", "n").agg(
         F.min(F.struct("k", "s")).alias("f"), F.count("*").alias("copies")
     ).select("a", "c", "n", F.col("f.k").alias("k"), F.col("f.s").alias("s"), "copies")
-    schema = different.schema.add("mixed", "boolean")
+    schema = StructType([*different.schema, StructField("mixed", BooleanType())])
     ordered = different.repartitionByRange("a", "c").sortWithinPartitions("a", "c")
     marked = stored(
         ordered.mapInArrow(_compare_neighbours, schema).filter("mixed OR copies > 1"), "marked"

@@ -22,6 +22,7 @@ _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 CHUNK_BYTES = 1 << 20
+CHUNK_DOCUMENTS = 1 << 18
 
 _bytes = np.arange(256)
 #: Words end at the space and at bytes 9 to 13 only.
@@ -109,7 +110,7 @@ def chunks(texts: pa.Array, separators: np.ndarray = SPACES, fold: np.ndarray |
     first = 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        last = min(n, max(first + 1, last))
+        last = min(n, first + CHUNK_DOCUMENTS, max(first + 1, last))
         yield _chunk(first, data[offsets[first]: offsets[last]],
                      offsets[first: last + 1] - offsets[first], separators, fold)
         first = last
