@@ -122,6 +122,7 @@ class TestBlock:
 
 def test_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"):
     """Blocks of different test windows, one after another."""
+    tk.bound_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
     windows = rows.mapInArrow(_test_windows, "item_id long, offset int, width int, tokens array<long>")
     place = F.min_by(F.struct("item_id", "offset"), F.struct(F.col("item_id").isNull(), "item_id", "offset"))

@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticelake.llm import tokens as tk
+
 CAPACITY = 2048
 END_ID = 1
 #: Windows of a block, the largest piece in a block, and the tokens left free per window.
@@ -166,6 +168,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     ``path`` is a tokenizer file on every worker (by default the public vocabulary's place there).
     ``with_ids`` adds ``ids``, the tokens themselves.
     """
+    tk.bound_batches(docs.sparkSession)
     ids_kind = ", ids array<int>" if with_ids else ""
     end = np.array([end_id], "<u4").tobytes()
 

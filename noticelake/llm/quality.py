@@ -235,6 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with a score between 0 and 1 in a new column ``name``."""
+    tk.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def emit(batches: Iterator[pa.RecordBatch]):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.llm import tokens as tk
-from noticelake.llm.repeats import kept_words, repeated_runs, with_spans, word_spans
+from noticelake.llm.repeats import apply_spans, kept_words, repeated_runs, word_spans
 
 LENGTH = 20
 ROUNDS = 2
@@ -154,10 +154,10 @@ def _digests(batches: Iterator[pa.RecordBatch]):
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document the number of words, of removed words, and the digest of the kept ones."""
-    keyed = tk.document_key(docs.select("doc_id", "text"))
-    joined = with_spans(keyed, substring_spans(keyed, length)).select("doc_id", "text", "spans")
-    return joined.mapInArrow(
-        _digests, "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    keyed = tk.document_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return apply_spans(
+        keyed, substring_spans(keyed, length), _digests,
+        "doc_id long, n_words long, n_removed long, kept_sha256 string",
     )
 
 
@@ -166,5 +166,4 @@ def kept_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     from noticelake.llm.suffixes import _cut
 
     keyed = tk.document_key(docs)
-    joined = with_spans(keyed, substring_spans(keyed, length)).drop("_key")
-    return joined.mapInArrow(_cut, docs.schema)
+    return apply_spans(keyed, substring_spans(keyed, length), _cut, docs.schema)

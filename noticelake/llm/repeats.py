@@ -173,6 +173,7 @@ def repeated_runs(docs: DataFrame, length: int, anchors: Anchors) -> DataFrame:
     an earlier document with these words).
     """
     spark = docs.sparkSession
+    tk.bound_batches(spark)
     docs = docs.select("_key", "text")
     names = docs.mapInArrow(_names(length, anchors), "a long").groupBy("a").count()
     repeated = spark.sparkContext.broadcast(bitmap_of(names.filter("count > 1"), "a"))
@@ -224,20 +225,30 @@ def word_spans(runs: DataFrame, length: int) -> DataFrame:
     return spans.mapInArrow(_merged, "_key long, spans array<struct<b:int,e:int>>")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` (with _key) and the ``spans`` of each, null where there are none.
+def apply_spans(docs: DataFrame, spans: DataFrame, function, schema) -> DataFrame:
+    """``function`` over Arrow batches of ``docs`` (with _key) and the ``spans`` of each row.
 
-    Only documents that may have spans are shuffled to them.
+    Spans are null where there are none. Only documents that may have spans are shuffled to them.
     """
     spans = stored(spans, "spans")
     found = docs.sparkSession.sparkContext.broadcast(bitmap_of(spans, "_key"))
+
+    def without(batches: Iterator[pa.RecordBatch]):
+        def filled():
+            for batch in _having(found, False)(batches):
+                none = pa.nulls(batch.num_rows, _SPANS)
+                yield pa.RecordBatch.from_arrays([*batch.columns, none], [*batch.schema.names, "spans"])
+
+        return function(filled())
+
     some = docs.mapInArrow(_having(found), docs.schema).join(spans, "_key", "left")
-    none = docs.mapInArrow(_having(found, False), docs.schema)
-    return some.unionByName(none, allowMissingColumns=True)
+    return some.mapInArrow(function, schema).unionByName(docs.mapInArrow(without, schema))
+
+
+_SPANS = pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]):
-    kind = pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))
     for batch in batches:
         lists = batch.column("spans")
         flat, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
@@ -258,7 +269,7 @@ def _merged(batches: Iterator[pa.RecordBatch]):
             [pa.array(b.astype(np.int32)), pa.array(e.astype(np.int32))], ["b", "e"]
         )
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_key"), pa.ListArray.from_arrays(pa.array(offsets), merged).cast(kind)],
+            [batch.column("_key"), pa.ListArray.from_arrays(pa.array(offsets), merged).cast(_SPANS)],
             ["_key", "spans"],
         )
 

@@ -249,6 +249,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
                     threshold: int = THRESHOLD) -> DataFrame:
     """Per row its ``id``, ``fp`` (the 64 bits as a long) and ``component``, the smallest id that
     a chain of links reaches."""
+    tk.bound_batches(docs.sparkSession)
     ids = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     prints = stored(ids.mapInArrow(_prints(words), "id long, fp long"), "fingerprints")
     points = stored(prints.groupBy("fp").agg(F.min("id").alias("first")), "points")

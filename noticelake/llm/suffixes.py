@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.llm import tokens as tk
-from noticelake.llm.repeats import kept_words, repeated_runs, with_spans, word_spans
+from noticelake.llm.repeats import apply_spans, kept_words, repeated_runs, word_spans
 
 LENGTH = 50
 SEED = 8
@@ -84,8 +84,8 @@ def _cut(batches: Iterator[pa.RecordBatch]):
                 ]
                 out.append(b"\n".join(pieces).decode())
         columns = [pa.array(out, pa.string()) if n == "text" else c
-                   for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "spans"]
-        names = [n for n in batch.schema.names if n != "spans"]
+                   for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("_key", "spans")]
+        names = [n for n in batch.schema.names if n not in ("_key", "spans")]
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -93,5 +93,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated passages cut out of their texts. All rows stay."""
     keyed = tk.document_key(docs)
     spans = word_spans(repeated_runs(keyed, length, minimisers), length)
-    joined = with_spans(keyed, spans).drop("_key")
-    return joined.mapInArrow(_cut, docs.schema)
+    return apply_spans(keyed, spans, _cut, docs.schema)

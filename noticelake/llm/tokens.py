@@ -7,12 +7,13 @@ bounded size, whole documents at a time, so a task's memory does not grow with i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -21,9 +22,23 @@ _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: A random value for each byte, from a fixed seed.
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 CHUNK_DOCUMENTS = 1 << 18
 
+#: Rows and bytes of an Arrow batch of texts, at most. Texts can be long, and workers are small.
+BATCH_ROWS = 1_000
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on Arrow batches where they are above those of this package."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(re.sub(r"[bB]$", "", spark.conf.get(name)))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 _bytes = np.arange(256)
 #: Words end at the space and at bytes 9 to 13 only.
 SPACES = (_bytes == 32) | ((_bytes >= 9) & (_bytes <= 13))
