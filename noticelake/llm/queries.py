@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import decontaminate, language, packing, quality, recompression, simhash, suffixes
+from noticelake.llm import (
+    decontaminate,
+    divergence,
+    hosts,
+    language,
+    packing,
+    quality,
+    recompression,
+    simhash,
+    suffixes,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +77,22 @@ def op2_benchmark_decontamination(spark, d):
 def op9_language_id(spark, d):
     documents = _table(spark, d, "documents")
     return language.identify(documents, language.train(documents))
+
+
+@query
+def op6_divergence_rules(spark, d):
+    return divergence.judged(_table(spark, d, "documents"))
+
+
+@query
+def op7_url_filter(spark, d):
+    return hosts.judged(_table(spark, d, "pages"))
+
+
+@query
+def op10_warc_revisits(spark, d):
+    found = warc.resolve_revisits(warc.captures(_table(spark, d, "pages")))
+    return found.withColumn("headers", warc.header_lines(F.col("headers")))
+
+
+ORACLES["op10_warc_revisits"] = warc.SQL
