@@ -129,7 +129,7 @@ def _digests(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         n, gone, sha = [], [], []
         for chunk in tk.chunks(batch.column("text")):
-            kept = kept_words(chunk, batch.column("spans").slice(chunk.first, chunk.documents))
+            kept = kept_words(chunk, batch.column("_spans").slice(chunk.first, chunk.documents))
             # Kept words with one space behind each, cut out of the chunk's bytes at once.
             size = (chunk.ends - chunk.starts)[kept] + 1
             starts = chunk.starts[kept]

@@ -221,8 +221,8 @@ def word_spans(runs: DataFrame, length: int) -> DataFrame:
     """
     spans = runs.groupBy(F.col("k").alias("_key")).agg(F.sort_array(F.collect_set(F.struct(
         F.col("s").alias("b"), (F.col("s") + F.col("n") - 1 + length).alias("e"))
-    )).alias("spans"))
-    return spans.mapInArrow(_merged, "_key long, spans array<struct<b:int,e:int>>")
+    )).alias("_spans"))
+    return spans.mapInArrow(_merged, "_key long, _spans array<struct<b:int,e:int>>")
 
 
 def apply_spans(docs: DataFrame, spans: DataFrame, function, schema) -> DataFrame:
@@ -237,7 +237,7 @@ def apply_spans(docs: DataFrame, spans: DataFrame, function, schema) -> DataFram
         def filled():
             for batch in _having(found, False)(batches):
                 none = pa.nulls(batch.num_rows, _SPANS)
-                yield pa.RecordBatch.from_arrays([*batch.columns, none], [*batch.schema.names, "spans"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, none], [*batch.schema.names, "_spans"])
 
         return function(filled())
 
@@ -250,7 +250,7 @@ _SPANS = pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))
 
 def _merged(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        lists = batch.column("spans")
+        lists = batch.column("_spans")
         flat, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
         if not len(flat):
             continue
@@ -270,7 +270,7 @@ def _merged(batches: Iterator[pa.RecordBatch]):
         )
         yield pa.RecordBatch.from_arrays(
             [batch.column("_key"), pa.ListArray.from_arrays(pa.array(offsets), merged).cast(_SPANS)],
-            ["_key", "spans"],
+            ["_key", "_spans"],
         )
 
 

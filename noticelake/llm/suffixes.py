@@ -60,7 +60,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     source = runs.groupBy(F.col("k").alias("_key")).agg(F.min("source").alias("first_doc_id"))
     spans = word_spans(runs, length).join(source, "_key")
     return spans.select(
-        F.col("_key").alias("doc_id"), "first_doc_id", F.explode("spans").alias("x")
+        F.col("_key").alias("doc_id"), "first_doc_id", F.explode("_spans").alias("x")
     ).select("doc_id", F.col("x.b").cast("long").alias("start"),
              F.col("x.e").cast("long").alias("end"), "first_doc_id")
 
@@ -70,7 +70,7 @@ def _cut(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         texts, out = batch.column("text"), []
         for chunk in tk.chunks(texts):
-            part = batch.column("spans").slice(chunk.first, chunk.documents)
+            part = batch.column("_spans").slice(chunk.first, chunk.documents)
             kept = kept_words(chunk, part)
             for i in range(chunk.documents):
                 a, b = chunk.offsets[i], chunk.offsets[i + 1]
@@ -84,8 +84,8 @@ def _cut(batches: Iterator[pa.RecordBatch]):
                 ]
                 out.append(b"\n".join(pieces).decode())
         columns = [pa.array(out, pa.string()) if n == "text" else c
-                   for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("_key", "spans")]
-        names = [n for n in batch.schema.names if n not in ("_key", "spans")]
+                   for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("_key", "_spans")]
+        names = [n for n in batch.schema.names if n not in ("_key", "_spans")]
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
