@@ -115,7 +115,8 @@ def _total(array: str) -> Column:
 def references(counts: DataFrame) -> dict[str, tuple[list[float], dict[int, float]]]:
     """Per listed language the shares of the classes and of the common words.
 
-    One row per language, or per language and word, reaches the driver.
+    ``counts`` is read several times, so it should be a written table. One row per language, or
+    per language and word, reaches the driver.
     """
     known = counts.filter(F.col("lang").isin(sorted(COMMON)) & ~F.col("base_failed"))
     shares = known.filter(F.col("n_words") >= CLASS_GUARD).withColumn("total", _total("classes"))

@@ -75,7 +75,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     last_modified, headers (map), payload_digest. Only responses with a payload_digest are full.
     Returns record_id, url, captured_at, status, original_id, original_at, payload_digest, headers.
     """
-    known = records.withColumn("canonical", canonical_url(F.col("url")))
+    known = records.select(
+        "record_id", "kind", "url", "captured_at", "etag", "last_modified", "headers", "payload_digest",
+        canonical_url(F.col("url")).alias("canonical"))
     full = known.filter("kind = 'response' AND payload_digest IS NOT NULL AND canonical IS NOT NULL "
                         "AND captured_at IS NOT NULL")
     kept = F.struct("record_id", F.col("captured_at").alias("at"), "etag", "last_modified", "headers", "payload_digest")
