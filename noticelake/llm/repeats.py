@@ -6,8 +6,10 @@ window's words alone. Neighbouring windows with one anchor form a run, so a corp
 runs than windows, and equal windows always share the anchor's name.
 
 1. Names of anchors are counted with partial sums; a bitmap of the repeated ones prunes the rest.
-2. The remaining runs are collapsed by content: one row per different run, with its first place
-   and its count. Copies of a document, however many, leave one row per task before the shuffle.
+2. Adjacent remaining runs form groups, which end at names of a certain kind. Groups with the same
+   words are repeats as a whole, but for the first; only first groups are taken apart again.
+   Their runs are collapsed by content: one row per different run, with its first place and its
+   count. Copies, however many, leave one row per task before either shuffle.
 3. Different runs are sorted by (name, content), cut by range, and compared with their neighbours:
    only names with two different runs, and the rows at the edges of a range, need a closer look.
 4. Copies of a run after its first place are repeats as a whole. Where a name has different runs,
@@ -35,7 +37,9 @@ from noticelake.session import scratch_path
 #: (word hashes, window starts, length) -> (number of the anchor's place, name of the anchor)
 Anchors = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 
-RUNS = "a long, c long, k long, s int, n int"
+GROUPS = "g long, k long, s int, n int, as array<long>, cs array<long>, ss array<int>, ns array<int>"
+#: One name in so many ends a group of runs.
+GROUP = 16
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -74,7 +78,13 @@ def _names(length: int, anchors: Anchors):
     return emit
 
 
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
 def _rows(length: int, anchors: Anchors, repeated):
+    """Groups of adjacent runs; a group ends where a name says so, whatever stands around it."""
+
     def emit(batches: Iterator[pa.RecordBatch]):
         bitmap = repeated.value
         with np.errstate(over="ignore"):
@@ -85,16 +95,30 @@ def _rows(length: int, anchors: Anchors, repeated):
                         continue
                     keep = maybe_in(bitmap, runs[2])
                     starts, n, name = (x[keep] for x in runs)
+                    if not len(starts):
+                        continue
                     prefix = tk.WORDS.prefix(chunk.hashes)
-                    content = tk.WORDS.of(prefix, starts, starts + n - 1 + length)
-                    content = tk.mix(content + n.astype(np.uint64))
-                    document = np.searchsorted(chunk.offsets, starts, "right") - 1
+
+                    def content(first, count, prefix=prefix):
+                        found = tk.WORDS.of(prefix, first, first + count - 1 + length)
+                        return tk.mix(found + count.astype(np.uint64)).view(np.int64)
+
+                    new = name & np.uint64(GROUP - 1) == 0
+                    new[0] = True
+                    new[1:] |= starts[1:] != starts[:-1] + n[:-1]
+                    at = np.flatnonzero(new)
+                    upto = np.append(at, len(starts))
+                    first, last = starts[at], upto[1:] - 1
+                    total = starts[last] + n[last] - first
+                    document = np.searchsorted(chunk.offsets, first, "right") - 1
+                    here = chunk.offsets[document]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(name.view(np.int64)), pa.array(content.view(np.int64)),
-                        pa.array(keys[chunk.first + document]),
-                        pa.array((starts - chunk.offsets[document]).astype(np.int32)),
-                        pa.array(n.astype(np.int32)),
-                    ], ["a", "c", "k", "s", "n"])
+                        pa.array(content(first, total)), pa.array(keys[chunk.first + document]),
+                        pa.array((first - here).astype(np.int32)), pa.array(total.astype(np.int32)),
+                        _lists(name.view(np.int64), upto), _lists(content(starts, n), upto),
+                        _lists((starts - np.repeat(here, np.diff(upto))).astype(np.int32), upto),
+                        _lists(n.astype(np.int32), upto),
+                    ], ["g", "k", "s", "n", "as", "cs", "ss", "ns"])
 
     return emit
 
@@ -177,7 +201,16 @@ def repeated_runs(docs: DataFrame, length: int, anchors: Anchors) -> DataFrame:
     docs = docs.select("_key", "text")
     names = docs.mapInArrow(_names(length, anchors), "a long").groupBy("a").count()
     repeated = spark.sparkContext.broadcast(bitmap_of(names.filter("count > 1"), "a"))
-    runs = stored(docs.mapInArrow(_rows(length, anchors, repeated), RUNS), "runs")
+    groups = stored(docs.mapInArrow(_rows(length, anchors, repeated), GROUPS), "groups")
+    heads = groups.groupBy("g", "n").agg(F.min(F.struct("k", "s")).alias("f"), F.count("*").alias("copies"))
+    heads = stored(heads.filter("copies > 1").select("g", "n", F.col("f.k").alias("source"), F.col("f.s").alias("at")),
+                   "heads")
+    other = (F.col("k") != F.col("source")) | (F.col("s") != F.col("at"))
+    whole = groups.select("g", "k", "s", "n").join(heads, ["g", "n"]).filter(other).select("k", "s", "n", "source")
+    firsts_only = groups.join(heads, ["g", "n"], "left").filter(F.col("source").isNull() | ~other)
+    members = F.arrays_zip(*(F.col(c) for c in ("as", "cs", "ss", "ns")))
+    runs = stored(firsts_only.select("k", F.inline(members)).select(
+        F.col("as").alias("a"), F.col("cs").alias("c"), "k", F.col("ss").alias("s"), F.col("ns").alias("n")), "runs")
 
     different = runs.groupBy("a", "c", "n").agg(
         F.min(F.struct("k", "s")).alias("f"), F.count("*").alias("copies")
@@ -211,7 +244,7 @@ def repeated_runs(docs: DataFrame, length: int, anchors: Anchors) -> DataFrame:
     edges = windows.join(firsts, ["w", "v"]).filter(F.struct("k", "s") != F.col("f")).select(
         "k", "s", F.lit(1).alias("n"), F.col("f.k").alias("source")
     )
-    return copies.unionByName(edges)
+    return whole.unionByName(copies).unionByName(edges)
 
 
 def word_spans(runs: DataFrame, length: int) -> DataFrame:
