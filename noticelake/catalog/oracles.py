@@ -185,15 +185,20 @@ def _tokens(text: str) -> str:
 
 
 _PART_POSTINGS = f"""part_tokens AS (
-SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, list_slice(list_concat(
+SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, list_concat(
   {_tokens('p_name')}, {_tokens('p_type')}, {_tokens('p_brand')},
-  {_tokens("'the board'")}), 1, 50) AS t FROM part),
+  {_tokens("'the board'")}) AS t FROM part),
 postings AS (SELECT DISTINCT unnest(t) AS token, id FROM part_tokens)"""
 ORACLES["q12_inverted_index"] = f"WITH {_PART_POSTINGS} SELECT token, id FROM postings"
 _DOC_TITLE = "regexp_replace(text, '[^\\p{L}\\p{Nd}]+', ' ', 'g')"
+_DOC_TOKENS = f"list_concat({_tokens(_DOC_TITLE)}, {_tokens('lang')}, {_tokens('source')})"
 ORACLES["q12b_index_documents"] = f"""SELECT DISTINCT unnest(t) AS token, id FROM (
-SELECT CAST(doc_id AS VARCHAR) AS id, list_slice(list_concat({_tokens(_DOC_TITLE)},
-  {_tokens('lang')}, {_tokens('source')}), 1, 50) AS t FROM documents)"""
+SELECT CAST(doc_id AS VARCHAR) AS id, {_DOC_TOKENS} AS t FROM documents)"""
+ORACLES["q12g_capped_tokens"] = f"""SELECT DISTINCT unnest(t) AS token, id FROM (
+SELECT CAST(doc_id AS VARCHAR) AS id, list_slice({_DOC_TOKENS}, 1, 50) AS t FROM documents)"""
+ORACLES["q12f_long_tokens"] = """WITH n AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS x FROM documents)
+SELECT doc_id, CAST(CASE WHEN 2000 * (length(array_to_string(x, ',')) + 1) - 1 >= 2 THEN 1 ELSE 0 END AS BIGINT) AS words,
+  CAST(2000 * (length(array_to_string(x, ',')) + 1) - 1 AS BIGINT) AS length FROM n WHERE len(x) > 0"""
 ORACLES["q12c_document_frequency"] = f"""SELECT token, count(*) AS doc_freq FROM (
 SELECT DISTINCT doc_id, unnest({_tokens(_DOC_TITLE)}) AS token FROM documents) GROUP BY token"""
 ORACLES["q12d_index_header"] = f"""WITH {_PART_POSTINGS}
@@ -201,6 +206,8 @@ SELECT 1 AS version, (SELECT count(*) FROM part) AS notice_count,
        count(DISTINCT token) AS token_count FROM postings"""
 ORACLES["q12e_export_index"] = f"""WITH {_PART_POSTINGS}
 SELECT token, count(*) AS doc_freq, string_agg(id, ',' ORDER BY id) AS ids FROM postings GROUP BY token"""
+ORACLES["q13b_search_stored_index"] = f"""{_N} SELECT notice_key, title FROM n
+WHERE regexp_matches(lower(title), '\\bnotice\\b') AND campus = 'ASIA' AND department_name = 'BUILDING'"""
 ORACLES["q13_index_search"] = f"""WITH {_PART_POSTINGS}
 SELECT id, title FROM part_tokens WHERE id IN (
 SELECT id FROM postings WHERE token IN ('small', 'ring') GROUP BY id HAVING count(*) = 2)"""
@@ -333,8 +340,8 @@ FROM pages WHERE contains(url, '/fr/') OR contains(url, '/de/')"""
 
 ORACLES["q27_commit"] = f"""{_RUNS},
 filled AS (SELECT * FROM now_ WHERE status = 'F'),
-words AS (SELECT o, unnest(list_slice(list_concat({_tokens('title')}, {_tokens('campus')},
-  {_tokens('department_name')}, {_tokens('board_name')}, {_tokens('college')}), 1, 50)) AS w
+words AS (SELECT o, unnest(list_concat({_tokens('title')}, {_tokens('campus')},
+  {_tokens('department_name')}, {_tokens('board_name')}, {_tokens('college')})) AS w
   FROM (SELECT 1 AS o, * FROM before_ UNION ALL SELECT 3, * FROM now_)),
 facts AS (
 SELECT 'r1' AS run_id, 0 AS seq, (SELECT count(*) FROM before_) AS current_count, 0 AS previous_count
@@ -348,7 +355,8 @@ SELECT 'r1' AS run_id, (SELECT count(*) FROM before_ WHERE {_HOT}) AS hot_count,
   (SELECT count(DISTINCT w) FROM words WHERE o = 1) AS index_token_count
 UNION ALL SELECT 'r2', 0, 0, NULL, NULL, NULL, NULL, NULL
 UNION ALL SELECT 'r3', (SELECT count(*) FROM now_ WHERE {_HOT}),
-  (SELECT count(DISTINCT (year, month)) FROM now_ WHERE NOT {_HOT}),
+  (SELECT count(DISTINCT (year, month)) FROM (SELECT year, month FROM now_ WHERE NOT {_HOT} UNION ALL
+     SELECT year, month FROM before_ WHERE {_HOT} AND notice_key NOT IN (SELECT notice_key FROM now_))),
   (SELECT count(*) FROM now_ WHERE notice_key NOT IN (SELECT notice_key FROM before_)),
   (SELECT count(*) FROM now_ w JOIN before_ b USING (notice_key) WHERE w.title <> b.title),
   (SELECT count(*) FROM before_ WHERE notice_key NOT IN (SELECT notice_key FROM now_)),
@@ -436,7 +444,7 @@ SELECT *, (board_total - board_failures) / board_total::DOUBLE AS board_success_
   (notice_total - notice_failures) / notice_total::DOUBLE AS notice_success_rate,
   1.0::DOUBLE AS detail_success_rate FROM totals"""
 ORACLES["q28f_full_run"] = f"""WITH {_OUTCOME}, counts AS (
-SELECT *, (SELECT count(DISTINCT (campus, college, department_id)) FROM board) AS department_count FROM totals)
+SELECT *, (SELECT count(DISTINCT (campus, college, c_name)) FROM dep) AS department_count FROM totals)
 SELECT run_id, status, detail_total AS current_count, CASE WHEN run_id = 'r1' THEN detail_total ELSE 0 END AS added,
   0::BIGINT AS updated, 0::BIGINT AS removed, department_count, board_total AS board_count, notice_total
 FROM counts, (VALUES ('r1', 'cold_start'), ('r2', 'safe')) AS r(run_id, status)"""

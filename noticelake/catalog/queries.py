@@ -13,6 +13,7 @@ from noticelake.config import (
     Breaker,
     Cleaning,
     CmsPattern,
+    CommitOptions,
     Config,
     Discovery,
     IndexRules,
@@ -20,6 +21,7 @@ from noticelake.config import (
     Selectors,
 )
 from noticelake.functions import dates, ids, text, urls
+from noticelake.functions.text import tokenize
 from noticelake.operators import departments as dep
 from noticelake.operators import feed as fd
 from noticelake.operators import index as ix
@@ -33,7 +35,7 @@ from noticelake.plans.crawl import run_crawl
 from noticelake.plans.feed import feed
 from noticelake.plans.map_sites import run_map
 from noticelake.plans.run import run_pipeline
-from noticelake.schemas import BOARDS
+from noticelake.schemas import BOARDS, NOTICES
 from noticelake.session import scratch_path, spread
 from noticelake.sources import sitemap as sm
 from noticelake.sources.html_nodes import extract_elements
@@ -302,6 +304,7 @@ def _part_notices(spark, d) -> DataFrame:
     p = v.table(spark, d, "part")
     return p.select(
         F.col("p_partkey").cast("string").alias("id"),
+        F.col("p_partkey").cast("string").alias("notice_key"),
         F.col("p_name").alias("title"),
         F.col("p_type").alias("campus"),
         F.col("p_brand").alias("department_name"),
@@ -314,6 +317,7 @@ def _document_notices(spark, d) -> DataFrame:
     doc = spread(v.table(spark, d, "documents"))
     return doc.select(
         F.col("doc_id").cast("string").alias("id"),
+        F.col("doc_id").cast("string").alias("notice_key"),
         F.regexp_replace("text", r"[^\p{L}\p{Nd}]+", " ").alias("title"),
         F.col("lang").alias("campus"),
         F.col("source").alias("department_name"),
@@ -324,18 +328,18 @@ def _document_notices(spark, d) -> DataFrame:
 
 @query
 def q12_inverted_index(spark, d):
-    return ix.sorted_postings(ix.build_postings(_part_notices(spark, d)))
+    return ix.sorted_postings(ix.build_postings(_part_notices(spark, d))).select("token", "id")
 
 
 @query
 def q12b_index_documents(spark, d):
-    return ix.build_postings(_document_notices(spark, d), unique_ids=True)
+    return ix.build_postings(_document_notices(spark, d)).select("token", "id")
 
 
 @query
 def q12c_document_frequency(spark, d):
-    rules = IndexRules(max_tokens=1_000_000, metadata=False)
-    return ix.document_frequency(ix.build_postings(_document_notices(spark, d), rules, True))
+    rules = IndexRules(metadata=False)
+    return ix.document_frequency(ix.build_postings(_document_notices(spark, d), rules))
 
 
 @query
@@ -350,6 +354,34 @@ def q12e_export_index(spark, d):
     return blocks.select("token", "doc_freq", F.array_join("ids", ",").alias("ids"))
 
 
+@query
+def q12f_long_tokens(spark, d):
+    """The numbers of each document joined by commas, 2,000 times over: one very long word."""
+    doc = v.table(spark, d, "documents")
+    numbers = F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))
+    joined = doc.select("doc_id", numbers.alias("n")).filter(F.size("n") > 0)
+    words = joined.select(
+        "doc_id", tokenize(F.repeat(F.concat(F.array_join("n", ","), F.lit(",")), 2000)).alias("w"))
+    return words.select("doc_id", F.size("w").cast("long").alias("words"),
+                        F.length(F.get("w", F.lit(0))).cast("long").alias("length"))
+
+
+@query
+def q12g_capped_tokens(spark, d):
+    rules = IndexRules(max_tokens=50)
+    return ix.build_postings(_document_notices(spark, d), rules).select("token", "id")
+
+
+@query
+def q13b_search_stored_index(spark, d):
+    """Search over the postings that a commit stored."""
+    lake = NoticeLake(spark, scratch_path(spark, "lake"))
+    n = _stored(spark, v.notices(spark, d))
+    commit_snapshot(spark, n.select(*NOTICES.names), lake.root, "r1", v.AS_OF, CommitOptions(calculate_diff=False))
+    found = ix.search_notices(lake.read_index(), lake.read_snapshot(), "notice asia building")
+    return found.select("notice_key", "title")
+
+
 @query
 def q13_index_search(spark, d):
     n = _part_notices(spark, d)

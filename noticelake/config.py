@@ -131,7 +131,8 @@ class Breaker:
 @dataclass(frozen=True)
 class IndexRules:
     min_token_bytes: int = 2
-    max_tokens: int = 50
+    # None indexes every token; a number keeps the first ones and loses the rest.
+    max_tokens: int | None = None
     metadata: bool = True
     version: int = 1
 
@@ -155,10 +156,11 @@ class Config:
     breaker: Breaker = field(default_factory=Breaker)
     index: IndexRules = field(default_factory=IndexRules)
 
-    def validate(self) -> "Config":
+    def validate(self, seeds_given: bool = False) -> "Config":
+        """Raise on settings no run can work with. A table of seeds stands in for ``campuses``."""
         if self.discovery.max_link_text <= 0:
             raise ValueError("discovery.max_link_text must be > 0")
-        if not self.campuses:
+        if not self.campuses and not seeds_given:
             raise ValueError("no campuses defined")
         if not self.discovery.keywords:
             raise ValueError("no keywords defined")

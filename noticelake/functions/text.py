@@ -19,13 +19,13 @@ _WS_CHARS = "".join(
 
 # Unicode word segmentation as one pattern. Han, Hiragana and the South East Asian scripts
 # break between characters; Katakana stays in runs; inner punctuation joins only between
-# letters or only between digits.
+# letters or only between digits. Possessive, so the time is linear and nothing piles up on the stack.
 _SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 _WORD = rf"[\p{{L}}\p{{M}}\p{{N}}_&&[^{_SINGLE}\p{{No}}]]"
 WORD_RE = (
     rf"(?:[{_SINGLE}&&[\p{{L}}\p{{N}}]]|\p{{No}})\p{{M}}*"
-    rf"|{_WORD}+(?:(?:(?<=[\p{{L}}\p{{M}}])[.:'\x{{2019}}\x{{2018}}\x{{b7}}](?=[\p{{L}}&&[^{_SINGLE}]])"
-    rf"|(?<=\p{{N}})[.,;'\x{{2019}}\x{{2018}}](?=\p{{Nd}})){_WORD}+)*"
+    rf"|{_WORD}++(?:(?:(?<=[\p{{L}}\p{{M}}])[.:'\x{{2019}}\x{{2018}}\x{{b7}}](?=[\p{{L}}&&[^{_SINGLE}]])"
+    rf"|(?<=\p{{N}})[.,;'\x{{2019}}\x{{2018}}](?=\p{{Nd}})){_WORD}++)*+"
 )
 
 # Words left out of the index.
@@ -119,8 +119,9 @@ def index_tokens(
     college: Column,
     rules: IndexRules = IndexRules(),
 ) -> Column:
-    """The first ``max_tokens`` tokens of a notice: title first, then the metadata fields."""
+    """Tokens of a notice, title first, then the metadata fields; all, or the first ``max_tokens``."""
     fields = [title] + ([campus, department, board, college] if rules.metadata else [])
     empty = F.array().cast("array<string>")
     lists = [F.coalesce(tokenize(f, rules.min_token_bytes), empty) for f in fields]
-    return F.slice(F.concat(*lists), 1, rules.max_tokens)
+    tokens = F.concat(*lists)
+    return tokens if rules.max_tokens is None else F.slice(tokens, 1, rules.max_tokens)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticelake.functions.dates import iso_date, normalize_date
+
 # White space a viewer strips from a query.
 _QUERY_SPACE = "".join(
     map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -142,7 +144,7 @@ def _month_no(year, month):
 def backfill_months(hot: DataFrame, months: DataFrame, steps: int | None = None) -> list[tuple[int, int]]:
     """Months the reader pages back through: from the month before the oldest loaded date,
     ending at the first month without rows. Bounded by the calendar, hence a list."""
-    oldest = hot.agg(F.min(F.col("date").try_cast("date")).alias("d")).first()["d"]
+    oldest = hot.agg(F.min(iso_date(F.col("date"))).alias("d")).first()["d"]
     if oldest is None:
         return []
     have = {(r["year"], r["month"]) for r in months.select("year", "month").distinct().collect()}
@@ -189,11 +191,13 @@ def month_backfill(hot: DataFrame, archive: DataFrame, steps: int | None = None)
         hot.select(*shared).withColumn("page", F.lit(0)).unionByName(older.select(*shared, "page"))
     )
     first = pages.groupBy("link", "date").agg(F.min("page").alias("page"))
-    return pages.join(first, ["link", "date", "page"], "left_semi")
+    # Rows without a link or a date are pairs like any other.
+    same = [pages[c].eqNullSafe(first[c]) for c in ("link", "date", "page")]
+    return pages.join(first, same, "left_semi")
 
 
 def to_nested(notices: DataFrame) -> DataFrame:
-    """Stored form: id, title, link and a metadata struct."""
+    """Stored form: id, title, link and a metadata struct, the date normalised."""
     return notices.select(
         "id",
         "title",
@@ -203,7 +207,7 @@ def to_nested(notices: DataFrame) -> DataFrame:
             "college",
             "department_name",
             "board_name",
-            "date",
+            normalize_date(F.col("date")).alias("date"),
             F.col("is_pinned").alias("pinned"),
         ).alias("metadata"),
     )

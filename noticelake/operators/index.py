@@ -9,13 +9,11 @@ from noticelake.config import IndexRules
 from noticelake.functions.text import index_tokens, tokenize
 
 
-def build_postings(
-    notices: DataFrame, rules: IndexRules = IndexRules(), unique_ids: bool = False
-) -> DataFrame:
-    """``(token, id)``, each pair once.
+def build_postings(notices: DataFrame, rules: IndexRules = IndexRules()) -> DataFrame:
+    """``(token, notice_key, id)``, each token of a notice once.
 
-    Repeats inside a notice go before the rows are made. Only where different notices can
-    share an id is there a shuffle, and its key is the pair, so frequent tokens spread.
+    Displayed ids can collide, so ``notice_key`` is what a posting points to; it must be unique
+    among the notices. Repeats inside a notice go before the rows are made: no shuffle.
     """
     tokens = index_tokens(
         F.col("title"),
@@ -25,8 +23,9 @@ def build_postings(
         F.col("college"),
         rules,
     )
-    postings = notices.select("id", F.explode(F.array_distinct(tokens)).alias("token"))
-    return (postings if unique_ids else postings.distinct()).select("token", "id")
+    return notices.select(
+        F.explode(F.array_distinct(tokens)).alias("token"), "notice_key", "id"
+    )
 
 
 def index_header(postings: DataFrame, notices: DataFrame, rules: IndexRules = IndexRules()) -> DataFrame:
@@ -46,9 +45,10 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 
 
 def sorted_postings(postings: DataFrame) -> DataFrame:
-    """Postings in (token, id) order, range-partitioned on both: a token that hits every
-    notice is cut into as many ranges as it needs."""
-    return postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id")
+    """Postings in (token, id, notice_key) order, range-partitioned on all three: a token that
+    hits every notice is cut into as many ranges as it needs."""
+    order = ("token", "id", "notice_key")
+    return postings.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def export_index(postings: DataFrame, max_ids: int = 100_000) -> DataFrame:
@@ -76,14 +76,14 @@ def query_tokens(df: DataFrame, query: str, rules: IndexRules = IndexRules()) ->
 
 
 def search_ids(postings: DataFrame, query: str, rules: IndexRules = IndexRules()) -> DataFrame:
-    """Ids of notices that have every query token. The token filter reaches the scan."""
+    """Keys and ids of notices that have every query token. The token filter reaches the scan."""
     tokens = query_tokens(postings, query, rules)
     hits = postings.filter(F.col("token").isin(tokens))
     return (
-        hits.groupBy("id")
-        .agg(F.count("*").alias("matched"))
+        hits.groupBy("notice_key")
+        .agg(F.count("*").alias("matched"), F.first("id").alias("id"))
         .filter(F.col("matched") == len(tokens))
-        .select("id")
+        .select("notice_key", "id")
     )
 
 
@@ -91,4 +91,4 @@ def search_notices(
     postings: DataFrame, notices: DataFrame, query: str, rules: IndexRules = IndexRules()
 ) -> DataFrame:
     """Notices found through the index; a query without usable tokens finds none."""
-    return notices.join(search_ids(postings, query, rules), "id", "left_semi")
+    return notices.join(search_ids(postings, query, rules), "notice_key", "left_semi")

@@ -53,6 +53,11 @@ BOARDS = T.StructType(
     + SELECTORS.fields
 )
 
+DEPARTMENTS = _struct(
+    campus=S, college=S, department_id=S, department_name=S, department_url=S, department_ord=L
+)
+MAPPED = _struct(map_id=S, mapped_at=TS)
+
 # A notice, flat. ``id`` is displayed, ``notice_key`` identifies.
 NOTICES = _struct(
     campus=S,
@@ -76,7 +81,7 @@ METADATA = _struct(
 )
 NESTED_NOTICE = _struct(id=S, title=S, link=S, metadata=METADATA)
 
-POSTINGS = _struct(token=S, id=S)
+POSTINGS = _struct(token=S, notice_key=S, id=S)
 
 RUN_STATS = _struct(
     run_id=S,

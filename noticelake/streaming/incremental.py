@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from noticelake.config import Breaker, Cleaning, CommitOptions, IndexRules
 from noticelake.functions.dates import normalize_date
 from noticelake.functions.ids import extract_notice_id
 from noticelake.functions.text import clean_date, clean_title
+from noticelake.operators.dedupe import first_per_key
 from noticelake.operators.rows import identify
 from noticelake.plans.commit import commit_snapshot
 
@@ -39,27 +42,26 @@ def commit_batches(
     index_rules: IndexRules = IndexRules(),
     order: tuple[str, ...] | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: each micro-batch with rows is one run.
+    """``foreachBatch`` function: each run of a micro-batch is committed for itself.
 
-    The run id comes from the batch id, so a batch that is replayed after a failure is
-    recognised in the manifest. A batch without rows is no run; taken for one, it would trip
-    the guard.
+    Rows with a ``run_id`` column belong to that run, and runs are committed in the order of
+    their ids. Without the column a batch is one run, named by the batch id. Either way a
+    batch that is replayed after a failure is recognised in the manifest. A batch without rows
+    is no run; taken for one, it would trip the guard.
     """
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        commit_snapshot(
-            batch.sparkSession,
-            batch,
-            root,
-            f"batch-{batch_id:012d}",
-            as_of(batch_id) if callable(as_of) else as_of,
-            options,
-            breaker,
-            index_rules,
-            order=order,
-        )
+        if "run_id" in batch.columns:
+            # One short text per run that arrived since the last trigger.
+            runs = sorted(r["run_id"] for r in batch.select("run_id").distinct().collect())
+            parts = [(run, batch.filter(F.col("run_id").eqNullSafe(run)).drop("run_id")) for run in runs]
+        else:
+            parts = [] if batch.isEmpty() else [(f"batch-{batch_id:012d}", batch)]
+        for run, rows in parts:
+            commit_snapshot(
+                batch.sparkSession, rows, root, run, as_of(batch_id) if callable(as_of) else as_of,
+                options, breaker, index_rules, order=order,
+            )
 
     return commit
 
@@ -92,8 +94,38 @@ def new_notice_feed(
 
 
 def exact_new_notices(
-    spark: SparkSession, batch: DataFrame, seen_path: str, key: str = "notice_key"
+    spark: SparkSession, batch: DataFrame, seen_path: str, key: str = "notice_key",
+    before: int | None = None,
 ) -> DataFrame:
-    """Rows of a batch whose key the ``seen_path`` table lacks, for use in ``foreachBatch``
-    where no horizon may be assumed."""
-    return batch.join(spark.read.parquet(seen_path).select(key), key, "left_anti")
+    """Rows of a batch whose key the ``seen_path`` table lacks, each key once; for use in
+    ``foreachBatch`` where no horizon may be assumed. An absent table has seen nothing. With
+    ``before`` only keys of earlier batches count."""
+    fresh = first_per_key(batch, [key], [F.xxhash64(*batch.columns)])
+    schema = T.StructType(batch.select(key).schema.fields + [T.StructField("batch", T.LongType())])
+    try:
+        seen = spark.read.schema(schema if before is not None else batch.select(key).schema).parquet(seen_path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return fresh
+    if before is not None:
+        seen = seen.filter(F.col("batch") < before)
+    return fresh.join(seen.select(key), key, "left_anti")
+
+
+def exact_feed(out_path: str, seen_path: str, key: str = "notice_key") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that adds new rows to ``out_path`` and their keys to ``seen_path``.
+
+    Both go to a folder of the batch, the keys last. A replayed batch looks at the keys of earlier
+    batches only and overwrites its own folders, so it writes the same rows again.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = exact_new_notices(spark, batch, seen_path, key, before=batch_id)
+        out = f"{out_path}/batch={batch_id}"
+        fresh.write.mode("overwrite").parquet(out)
+        spark.read.schema(fresh.schema).parquet(out).select(key).write.mode("overwrite").parquet(
+            f"{seen_path}/batch={batch_id}")
+
+    return write
