@@ -444,7 +444,7 @@ SELECT *, (board_total - board_failures) / board_total::DOUBLE AS board_success_
   (notice_total - notice_failures) / notice_total::DOUBLE AS notice_success_rate,
   1.0::DOUBLE AS detail_success_rate FROM totals"""
 ORACLES["q28f_full_run"] = f"""WITH {_OUTCOME}, counts AS (
-SELECT *, (SELECT count(DISTINCT (campus, college, c_name)) FROM dep) AS department_count FROM totals)
+SELECT *, (SELECT count(DISTINCT (campus, college, department_name)) FROM dep) AS department_count FROM totals)
 SELECT run_id, status, detail_total AS current_count, CASE WHEN run_id = 'r1' THEN detail_total ELSE 0 END AS added,
   0::BIGINT AS updated, 0::BIGINT AS removed, department_count, board_total AS board_count, notice_total
 FROM counts, (VALUES ('r1', 'cold_start'), ('r2', 'safe')) AS r(run_id, status)"""
