@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticelake.llm import similar
 from noticelake.llm import tokens as tk
 from noticelake.llm.components import components
 from noticelake.llm.repeats import stored
@@ -262,10 +263,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without near copies: of each component the document with the smallest doc_id.
+    """``docs`` without near copies: of each group of similar texts the smallest doc_id.
 
+    Groups are chains of texts with a similarity of 0.8 or more over 5 words, see ``similar.py``.
     Documents without a doc_id come before those with one.
     """
-    keyed = tk.document_key(docs)
-    keep = near_duplicates(keyed, "_key").filter("id = component").select(F.col("id").alias("_key"))
-    return keyed.join(keep.distinct(), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    keyed = tk.document_key(docs).withColumn("_point", F.xxhash64(F.coalesce("text", F.lit(""))))
+    first = similar.groups(keyed).groupBy("root").agg(F.min(F.struct("first", "point")).alias("f"))
+    keep = first.select(F.col("f.first").alias("_key"), F.col("f.point").alias("_point"))
+    return keyed.join(keep, ["_key", "_point"], "left_semi").dropDuplicates(["_key"]).drop("_key", "_point")

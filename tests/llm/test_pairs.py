@@ -176,3 +176,34 @@ def test_two_substitutions_always_hit(spark):
     for a in range(12):
         for b in range(12):
             assert any(a not in m and b not in m for m in decontaminate.MASKS)
+
+
+def jaccard(a, b):
+    one, two = ({tuple(w[i: i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(one & two) / len(one | two)
+
+
+def test_one_of_each_finds_copies_from_080_on(spark):
+    """Copies with changed words, at 0.80 and above gone and below kept, single and in a large group."""
+    texts, gone, r = [], set(), random.Random(9)
+    for n in range(80):
+        base = samples.prose(5000 + n, 120 + n)
+        copy = base.split()
+        while jaccard(base, " ".join(copy)) > 0.96 - n / 400:
+            copy[r.randrange(len(copy))] = f"new{r.randrange(10**6)}"
+        texts += [(2 * n, base), (2 * n + 1, " ".join(copy))]
+        if jaccard(base, " ".join(copy)) >= 0.8:
+            gone.add(2 * n + 1)
+    assert 20 < len(gone) < 75
+    base = samples.prose(4000, 300).split()
+    for n in range(1000, 1150):
+        copy = list(base)
+        for _ in range(4):
+            copy[r.randrange(300)] = f"new{r.randrange(10**6)}"
+        texts.append((n, " ".join(copy)))
+    group = {i: t for i, t in texts if i >= 1000}
+    linked = smallest(sorted(group), lambda a, b: jaccard(group[a], group[b]) >= 0.8)
+    gone |= {i for i in group if linked[i] != i}
+    docs = samples.frame(spark, [(i, t, None, None, None, "x", 1, "k", None, 1, 2) for i, t in texts])
+    kept = {x.doc_id for x in simhash.one_of_each(docs).collect()}
+    assert kept == {i for i, _ in texts} - gone
