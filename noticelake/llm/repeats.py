@@ -148,8 +148,9 @@ def _marked(batch: pa.RecordBatch, before: int | None, after: int | None) -> pa.
     return pa.RecordBatch.from_arrays([*batch.columns, mixed], [*batch.schema.names, "mixed"])
 
 
-def _windows(length: int):
-    """Two hashes of every window of the runs listed with each text."""
+def _windows(length: int, places: bool = False):
+    """Two hashes of every window of the runs listed with each text; with ``places`` also the
+    starts of its run and of its group."""
 
     def emit(batches: Iterator[pa.RecordBatch]):
         with np.errstate(over="ignore"):
@@ -165,9 +166,10 @@ def _windows(length: int):
                     document = np.repeat(np.arange(chunk.documents), count)
                     s, n = runs.field("s").to_numpy(), runs.field("n").to_numpy()
                     document = np.repeat(document, n)
-                    s = np.repeat(s, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                    r, s = np.repeat(s, n), np.repeat(s, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
                     at = s + chunk.offsets[document]
                     ok = at + length <= chunk.offsets[document + 1]  # rows that share an id
+                    more = [r[ok], np.repeat(runs.field("q").to_numpy(), n)[ok]] if places else []
                     at, document, s = at[ok], document[ok], s[ok]
                     one = tk.WORDS.of(tk.WORDS.prefix(chunk.hashes), at, at + length)
                     two = tk.WORDS_2.prefix(tk.mix(chunk.hashes ^ np.uint64(0x5851F42D4C957F2D)))
@@ -175,7 +177,8 @@ def _windows(length: int):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
                         pa.array(keys[chunk.first + document]), pa.array(s.astype(np.int32)),
-                    ], ["w", "v", "k", "s"])
+                        *(pa.array(x.astype(np.int32)) for x in more),
+                    ], ["w", "v", "k", "s", *(["r", "q"] if places else [])])
 
     return emit
 
@@ -189,13 +192,17 @@ def _having(bitmap, wanted: bool = True):
     return emit
 
 
-def repeated_runs(docs: DataFrame, length: int, anchors: Anchors) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int, anchors: Anchors, every: bool = False) -> DataFrame:
     """Runs of windows whose words also start earlier in the corpus.
 
     ``docs`` has ``_key`` and ``text``. Earlier means a smaller key, or the same key and an
     earlier start. Returns ``k`` (key), ``s`` (first window), ``n`` (windows), ``source`` (key of
-    an earlier document with these words).
+    an earlier document with these words). With ``every`` also ``over``: stretches of windows
+    (``o`` from ``s`` on, ``n``) that stand still earlier, and where. A copied group points to
+    its first place, whose runs may be copies, and their first places may hold repeated windows;
+    so the smallest source of all that lists a window is the first document that has it.
     """
+    place = ["q"] if every else []
     spark = docs.sparkSession
     tk.bound_batches(spark)
     docs = docs.select("_key", "text")
@@ -209,12 +216,13 @@ def repeated_runs(docs: DataFrame, length: int, anchors: Anchors) -> DataFrame:
     whole = groups.select("g", "k", "s", "n").join(heads, ["g", "n"]).filter(other).select("k", "s", "n", "source")
     firsts_only = groups.join(heads, ["g", "n"], "left").filter(F.col("source").isNull() | ~other)
     members = F.arrays_zip(*(F.col(c) for c in ("as", "cs", "ss", "ns")))
-    runs = stored(firsts_only.select("k", F.inline(members)).select(
-        F.col("as").alias("a"), F.col("cs").alias("c"), "k", F.col("ss").alias("s"), F.col("ns").alias("n")), "runs")
+    runs = stored(firsts_only.select("k", F.col("s").alias("q"), F.inline(members)).select(
+        F.col("as").alias("a"), F.col("cs").alias("c"), "k", F.col("ss").alias("s"), F.col("ns").alias("n"), *place),
+        "runs")
 
     different = runs.groupBy("a", "c", "n").agg(
-        F.min(F.struct("k", "s")).alias("f"), F.count("*").alias("copies")
-    ).select("a", "c", "n", F.col("f.k").alias("k"), F.col("f.s").alias("s"), "copies")
+        F.min(F.struct("k", "s", *place)).alias("f"), F.count("*").alias("copies")
+    ).select("a", "c", "n", F.col("f.k").alias("k"), F.col("f.s").alias("s"), *(f"f.{x}" for x in place), "copies")
     schema = StructType([*different.schema, StructField("mixed", BooleanType())])
     ordered = different.repartitionByRange("a", "c").sortWithinPartitions("a", "c")
     marked = stored(
@@ -226,25 +234,45 @@ def repeated_runs(docs: DataFrame, length: int, anchors: Anchors) -> DataFrame:
     )
     copies = runs.join(first, ["a", "c", "n"]).filter(
         (F.col("k") != F.col("source")) | (F.col("s") != F.col("at"))
-    ).select("k", "s", "n", "source")
+    )
 
-    closer = marked.filter("mixed").select("k", "s", "n")
+    closer = marked.filter("mixed").select("k", "s", "n", *place)
     wanted = spark.sparkContext.broadcast(bitmap_of(closer, "k"))
     closer = closer.groupBy(F.col("k").alias("_key")).agg(
-        F.collect_list(F.struct("s", "n")).alias("runs")
+        F.collect_list(F.struct("s", "n", *place)).alias("runs")
     )
     texts = docs.mapInArrow(_having(wanted), docs.schema)
     windows = stored(
-        texts.join(closer, "_key").mapInArrow(_windows(length), "w long, v long, k long, s int"),
+        texts.join(closer, "_key").mapInArrow(
+            _windows(length, every), "w long, v long, k long, s int" + (", r int, q int" if every else "")),
         "windows",
     )
     firsts = windows.groupBy("w", "v").agg(
         F.min(F.struct("k", "s")).alias("f"), F.count("*").alias("times")
     ).filter("times > 1")
     edges = windows.join(firsts, ["w", "v"]).filter(F.struct("k", "s") != F.col("f")).select(
-        "k", "s", F.lit(1).alias("n"), F.col("f.k").alias("source")
+        "k", "s", F.lit(1).alias("n"), F.col("f.k").alias("source"), *(["r", "q"] if every else [])
     )
-    return whole.unionByName(copies).unionByName(edges)
+    shape = ["k", "s", "n", "source"]
+    if not every:
+        return whole.unionByName(copies.select(shape)).unionByName(edges)
+
+    edges = stored(edges, "edges")
+    within = edges.groupBy(F.col("k").alias("source"), F.col("r").alias("at")).agg(F.collect_list(F.struct(
+        (F.col("s") - F.col("r")).alias("o"), "n", F.col("source").alias("d"))).alias("over"))
+    copies = stored(copies.join(within, ["source", "at"], "left").select(*shape, "q", "over"), "copies")
+    offset = (F.col("s") - F.col("q")).alias("o")
+    inner = copies.select("k", "q", offset, F.explode("over").alias("x")).select(
+        "k", "q", (F.col("o") + F.col("x.o")).alias("o"), "x.n", F.col("x.d").alias("d"))
+    listed = inner.unionByName(copies.select("k", "q", offset, "n", F.col("source").alias("d"))).unionByName(
+        edges.select("k", "q", offset, "n", F.col("source").alias("d")))
+    places = heads.select(F.col("source").alias("k"), F.col("at").alias("q")).distinct()
+    listed = listed.join(places, ["k", "q"]).groupBy(F.col("k").alias("source"), F.col("q").alias("at")).agg(
+        F.collect_list(F.struct("o", "n", "d")).alias("over"))
+    whole = groups.select("g", "k", "s", "n").join(heads, ["g", "n"]).filter(other).join(
+        listed, ["source", "at"], "left").select(*shape, "over")
+    none = F.lit(None).cast(whole.schema["over"].dataType).alias("over")
+    return whole.unionByName(copies.select(*shape, "over")).unionByName(edges.select(*shape, none))
 
 
 def word_spans(runs: DataFrame, length: int) -> DataFrame:

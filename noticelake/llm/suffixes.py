@@ -48,21 +48,62 @@ def minimisers(hashes: np.ndarray, starts: np.ndarray, length: int, seed: int =
     return place, names[place]
 
 
+def _sourced(length: int):
+    """Merged stretches of each document, and per stretch the sources of its windows."""
+
+    def emit(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            lists = batch.column("_links")
+            flat, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            if not len(flat):
+                continue
+            document = np.repeat(np.arange(len(count)), count)
+            s, n, source = (flat.field(c).to_numpy() for c in ("s", "n", "source"))
+            over = flat.field("over").fill_null([])
+            owner = np.repeat(np.arange(len(s)), np.diff(over.offsets.to_numpy()))
+            over = over.flatten()
+            document = np.concatenate([document, document[owner]])
+            s = np.concatenate([s, s[owner] + over.field("o").to_numpy()]).astype(np.int64)
+            n = np.concatenate([n, over.field("n").to_numpy()])
+            source = np.concatenate([source, over.field("d").to_numpy()])
+            # Documents one after another on one line; of each window the smallest source.
+            far = int((s + n).max()) + length + 1
+            at = np.repeat(s + document * far, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            source = np.repeat(source, n)
+            order = np.lexsort((source, at))
+            at, source = at[order], source[order]
+            first = np.append(True, at[1:] != at[:-1])
+            at, source = at[first], source[first]
+            piece = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1])))
+            last = at[np.append(piece[1:], len(at)) - 1]
+            document, begin, source = at[piece] // far, at[piece], source[piece]
+            new = np.flatnonzero(np.append(True, begin[1:] > last[:-1] + length))
+            document, here = document[new], document * far
+            b, e = begin - here, last + length - here
+            pieces = pa.StructArray.from_arrays([pa.array(b), pa.array(e), pa.array(source)], ["start", "end", "doc_id"])
+            upto = np.append(new, len(begin))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("_key").take(pa.array(document)), pa.array(b[new]), pa.array(e[upto[1:] - 1]),
+                pa.array(np.minimum.reduceat(source, new)),
+                pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pieces),
+            ], ["doc_id", "start", "end", "first_doc_id", "sources"])
+
+    return emit
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id",
                    text: str = "text") -> DataFrame:
     """Words [start, end) of each document that repeat ``length`` or more words found earlier.
 
-    ``first_doc_id`` is the smallest document that a stretch repeats from (the document itself
-    for repeats within it).
+    ``sources`` cuts a stretch by the first document that has each window of it (the document
+    itself for repeats within it); ``first_doc_id`` is the smallest of them.
     """
     keyed = tk.document_key(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    runs = repeated_runs(keyed, length, minimisers)
-    source = runs.groupBy(F.col("k").alias("_key")).agg(F.min("source").alias("first_doc_id"))
-    spans = word_spans(runs, length).join(source, "_key")
-    return spans.select(
-        F.col("_key").alias("doc_id"), "first_doc_id", F.explode("_spans").alias("x")
-    ).select("doc_id", F.col("x.b").cast("long").alias("start"),
-             F.col("x.e").cast("long").alias("end"), "first_doc_id")
+    runs = repeated_runs(keyed, length, minimisers, every=True)
+    links = runs.groupBy(F.col("k").alias("_key")).agg(
+        F.collect_list(F.struct("s", "n", "source", "over")).alias("_links"))
+    return links.mapInArrow(_sourced(length), "doc_id long, start long, end long, first_doc_id long, "
+                            "sources array<struct<start:long,end:long,doc_id:long>>")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]):

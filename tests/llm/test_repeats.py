@@ -104,3 +104,28 @@ def test_bitmap(spark):
     values = [5, 77, -3, 1 << 40]
     bitmap = bitmap_of(spark.createDataFrame([(v,) for v in values], "a long"), "a")
     assert maybe_in(bitmap, np.array(values)).all() and not maybe_in(bitmap, np.array([6, 1 << 41 | 9])).any()
+
+
+def test_sources_of_suffix_dedup(spark):
+    """Every window of a stretch names the first document that has it, through copies of copies."""
+    p, q, r = (samples.prose(2000 + i, 400 + 60 * i) for i in range(3))
+    texts = [p, q, f"{samples.prose(2010, 60)} {p} {q} {samples.prose(2011, 70)}", f"{q} {r}", f"{r} {p}",
+             " ".join(p.split()[100:260] + q.split()[:90]), f"{p} {q} {samples.prose(2012, 30)}",
+             f"{samples.prose(2010, 60)} {p} {q} {samples.prose(2011, 70)}", f"{samples.prose(2013, 80)} " * 2,
+             " ".join(q.split()[50:300] + samples.prose(2013, 80).split())]
+    data = [(i, t, *samples.rows()[0][2:]) for i, t in enumerate(texts)] + [r for r in samples.rows() if (r[0] or 0) > 10]
+    data = [(i, *r[1:]) for i, r in enumerate(data)]
+    first, want = {}, {}
+    for i, text, *_ in data:
+        words = samples.WORD.findall(text or "")
+        for s in range(len(words) - 49):
+            w = tuple(words[s: s + 50])
+            if w in first:
+                want[i, s] = first[w]
+            first.setdefault(w, i)
+    got = {}
+    for row in suffixes.repeated_spans(samples.frame(spark, data)).collect():
+        assert row.first_doc_id == min(x.doc_id for x in row.sources)
+        assert (row.start, row.end) == (min(x.start for x in row.sources), max(x.end for x in row.sources))
+        got |= {(row.doc_id, s): x.doc_id for x in row.sources for s in range(x.start, x.end - 49)}
+    assert got == want and len(set(want.values())) > 5
