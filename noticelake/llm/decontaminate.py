@@ -4,15 +4,18 @@ Tokens are runs of letters and digits, lower-cased in ASCII. A window of ``WINDO
 into four blocks, and each of six fixed masks keeps two of them and ignores the others, so two
 windows that differ in at most ``SUBSTITUTIONS`` tokens agree under at least one mask. Hashes of
 the kept tokens of all test windows are joined with those of all training windows; each hit is
-verified token by token, and verified windows on one diagonal are merged into one overlap.
+verified token by token. Equal test windows are searched once; their hits are joined with all places
+(item_id, offset) of the window, and windows on one diagonal are merged into one overlap.
 
 The test side is read in blocks of ``BLOCK`` different windows, each sent to the tasks (a bound
-of about 100 MB), and every block meets all training texts; training texts are never shuffled.
+of about 100 MB), and every block meets all training texts; training texts are never shuffled. The
+hits of a block are written before the next block is made, so one block is held at a time, and
+overlaps are merged over the hits of all blocks.
 
 Defined results: null and empty texts have no windows; texts are taken whole; test items shorter
 than a window must occur whole and unchanged; items with fewer than ``SHORTEST`` tokens match
-nothing; of equal test windows the smallest item_id is named (null if there is none); repeated
-rows are each reported; empty tables give empty results; extra columns pass through.
+nothing; every item that has a window is named, items without an item_id as one; repeated rows
+are each reported; empty tables give empty results; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticelake.llm import tokens as tk
@@ -80,8 +83,7 @@ class TestBlock:
     def __init__(self, table: pa.Table):
         table = table.combine_chunks()
         n = table.num_rows
-        self.items = table["item_id"].combine_chunks() if n else pa.array([], pa.int64())
-        self.offset = table["offset"].to_numpy()
+        self.window = table["window"].to_numpy()
         self.width = table["width"].to_numpy()
         flat = table["tokens"].combine_chunks().flatten().to_numpy() if n else np.zeros(0, np.int64)
         self.tokens = flat.view(_U).reshape(n, WINDOW)
@@ -120,64 +122,64 @@ class TestBlock:
         return np.searchsorted(chunk.offsets, at, "right") - 1, at, window
 
 
-def test_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"):
-    """Blocks of different test windows, one after another."""
+def test_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"):
+    """Different test windows with a number each, all their places, and the number of blocks."""
     tk.bound_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
-    windows = rows.mapInArrow(_test_windows, "item_id long, offset int, width int, tokens array<long>")
-    place = F.min_by(F.struct("item_id", "offset"), F.struct(F.col("item_id").isNull(), "item_id", "offset"))
-    windows = stored(windows.groupBy("width", "tokens").agg(place.alias("p")).select(
-        "p.item_id", "p.offset", "width", "tokens"), "test-windows")
-    blocks = max(1, -(-windows.count() // BLOCK))
-    for i in range(blocks):
-        mine = F.pmod(F.xxhash64("tokens"), F.lit(blocks)) == i
-        yield TestBlock(windows.filter(mine).orderBy("item_id", "offset").toArrow())
+    rows = stored(rows.mapInArrow(
+        _test_windows, "item_id long, offset int, width int, tokens array<long>").distinct(), "test-places")
+    windows = stored(rows.select("width", "tokens").distinct().withColumn(
+        "window", F.monotonically_increasing_id()), "test-windows")
+    places = rows.join(windows, ["width", "tokens"]).select("window", "item_id", "offset", "width")
+    return windows, places, max(1, -(-windows.count() // BLOCK))
+
+
+def _block(windows: DataFrame, blocks: int, i: int):
+    mine = F.pmod(F.xxhash64("tokens"), F.lit(blocks)) == i
+    return windows.sparkSession.sparkContext.broadcast(
+        TestBlock(windows.filter(mine).orderBy("window").toArrow()))
 
 
-def _overlaps(block):
+def _hits(block):
     def emit(batches: Iterator[pa.RecordBatch]):
         test = block.value
         with np.errstate(over="ignore"):
             for batch in batches:
-                ids = batch.column("doc_id")
                 for chunk in tk.chunks(batch.column("text"), tk.NOT_ALNUM, tk.LOWER):
                     document, at, window = test.verified(chunk)
                     if not len(at):
                         continue
-                    item = np.unique(test.items.fill_null(-1).to_numpy(), return_inverse=True)[1][window]
-                    diagonal = at - test.offset[window]
-                    order = np.lexsort((at, diagonal, item, document))
-                    document, at, window, item, diagonal = (
-                        x[order] for x in (document, at, window, item, diagonal))
-                    end = at + test.width[window]
-                    new = np.ones(len(at), bool)
-                    new[1:] = ((document[1:] != document[:-1]) | (item[1:] != item[:-1])
-                               | (diagonal[1:] != diagonal[:-1]) | (at[1:] > end[:-1]))
-                    first = np.flatnonzero(new)
-                    last = np.append(first[1:], len(at)) - 1
-                    start = at[first] - chunk.offsets[document[first]]
+                    row = pa.array(chunk.first + document)
                     yield pa.RecordBatch.from_arrays([
-                        ids.take(pa.array(chunk.first + document[first])),
-                        test.items.take(pa.array(window[first])),
-                        pa.array(start.astype(np.int64)),
-                        pa.array((start + end[last] - at[first]).astype(np.int64)),
-                        pa.array(test.offset[window[first]].astype(np.int64)),
-                    ], ["doc_id", "item_id", "start", "end", "item_start"])
+                        batch.column("doc_id").take(row), batch.column("digest").take(row),
+                        pa.array((at - chunk.offsets[document]).astype(np.int64)),
+                        pa.array(test.window[window].astype(np.int64)),
+                    ], ["doc_id", "digest", "at", "window"])
 
     return emit
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Token stretches [start, end) of documents that match a test item from ``item_start`` on."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, start long, end long, item_start long"
-    found = [texts.mapInArrow(_overlaps(spark.sparkContext.broadcast(block)), schema)
-             for block in test_blocks(benchmark)]
-    result = found[0]
-    for part in found[1:]:
-        result = result.unionByName(part)
-    return result
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    windows, places, blocks = test_windows(benchmark)
+    found = None
+    for i in range(blocks):
+        block = _block(windows, blocks, i)
+        hits = stored(texts.mapInArrow(_hits(block), "doc_id long, digest long, at long, window long"), "hits")
+        block.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    # A row has a window at a place once, so the count is the number of equal rows.
+    found = found.groupBy("doc_id", "digest", "at", "window").agg(F.count("*").alias("rows")).join(places, "window")
+    line = Window.partitionBy("doc_id", "digest", "rows", "item_id", "width", "diagonal").orderBy("at")
+    found = found.withColumn("diagonal", F.col("at") - F.col("offset"))
+    new = F.coalesce(F.col("at") > F.lag("at").over(line) + F.col("width"), F.lit(True)).cast("long")
+    found = found.withColumn("new", new).withColumn("n", F.sum("new").over(line))
+    found = found.groupBy("doc_id", "digest", "rows", "item_id", "width", "diagonal", "n").agg(
+        F.min("at").alias("start"), (F.max("at") + F.col("width")).alias("end"))
+    return found.withColumn("row", F.explode(F.sequence(F.lit(1), "rows"))).select(
+        "doc_id", "item_id", "start", "end", (F.col("start") - F.col("diagonal")).alias("item_start")
+    ).orderBy("doc_id", "item_id", "start", "item_start")
 
 
 def _clean(block):
@@ -195,6 +197,8 @@ def _clean(block):
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that overlap a test item. No shuffle."""
-    for block in test_blocks(benchmark):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    windows, _, blocks = test_windows(benchmark)
+    for i in range(blocks):
+        block = _block(windows, blocks, i)
+        docs = docs.mapInArrow(_clean(block), docs.schema)
     return docs

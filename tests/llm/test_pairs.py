@@ -207,3 +207,38 @@ def test_one_of_each_finds_copies_from_080_on(spark):
     docs = samples.frame(spark, [(i, t, None, None, None, "x", 1, "k", None, 1, 2) for i, t in texts])
     kept = {x.doc_id for x in simhash.one_of_each(docs).collect()}
     assert kept == {i for i, _ in texts} - gone
+
+
+def shared_items(spark):
+    """Items that share a template or are copies, and documents with them, one of them twice."""
+    template = samples.prose(3000, 20)
+    items = [(n, f"{samples.prose(3001 + n, 15)} {template} {samples.prose(3010 + n, 15)}") for n in (1, 2)]
+    items += [(3, items[0][1]), (4, template)]
+    docs = [(1, f"{samples.prose(3020, 30)} {items[0][1]} {samples.prose(3021, 10)}"), (2, items[1][1])]
+    docs = [(i, t, None, None, None, "x", 1, "k", None, 1, 2) for i, t in [*docs, docs[1]]]
+    return samples.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+
+
+def all_overlaps(docs, items):
+    """Windows of 12 with at most two changes, all against all, merged on their diagonals."""
+    out = []
+    for d, text in docs:
+        a = text.split()
+        for item, text in items:
+            b = text.split()
+            for diagonal in range(-len(b), len(a)):
+                hits = [x for x in range(max(0, diagonal), min(len(a), len(b) + diagonal) - 11)
+                        if sum(a[x + k] != b[x + k - diagonal] for k in range(12)) <= 2]
+                for n, x in enumerate(hits):
+                    if n and x <= hits[n - 1] + 12:
+                        out[-1] = (*out[-1][:3], x + 12, out[-1][4])
+                    else:
+                        out.append((d, item, x, x + 12, x - diagonal))
+    return sorted(out)
+
+
+def test_every_item_of_a_shared_window(spark):
+    docs, bench = shared_items(spark)
+    want = all_overlaps([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in bench.collect()])
+    assert sorted(tuple(r) for r in decontaminate.overlaps(docs, bench).collect()) == want
+    assert {i for d, i, *_ in want if d == 1} == {1, 2, 3, 4} and (1, 3, 30, 80, 0) in want
