@@ -201,4 +201,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for i in range(blocks):
         block = _block(windows, blocks, i)
         docs = docs.mapInArrow(_clean(block), docs.schema)
+        if i + 1 < blocks:
+            docs = stored(docs, "clean")
+            block.destroy()
     return docs

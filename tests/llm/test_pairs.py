@@ -242,3 +242,14 @@ def test_every_item_of_a_shared_window(spark):
     want = all_overlaps([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in bench.collect()])
     assert sorted(tuple(r) for r in decontaminate.overlaps(docs, bench).collect()) == want
     assert {i for d, i, *_ in want if d == 1} == {1, 2, 3, 4} and (1, 3, 30, 80, 0) in want
+
+
+def test_blocks_give_the_same_rows(spark, monkeypatch):
+    docs, bench = shared_items(spark)
+    one = sorted(tuple(r) for r in decontaminate.overlaps(docs, bench).collect())
+    leaks = samples.frame(spark, leaky())
+    known = spark.createDataFrame(BENCH, "item_id long, text string")
+    two = sorted(map(str, decontaminate.overlaps(leaks, known).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK", 20)
+    assert sorted(tuple(r) for r in decontaminate.overlaps(docs, bench).collect()) == one
+    assert sorted(map(str, decontaminate.overlaps(leaks, known).collect())) == two
