@@ -12,6 +12,7 @@ from noticelake.llm import (
     divergence,
     hosts,
     language,
+    manifest,
     packing,
     quality,
     recompression,
@@ -95,4 +96,11 @@ def op10_warc_revisits(spark, d):
     return found.withColumn("headers", warc.header_lines(F.col("headers")))
 
 
+@query
+def op11_merkle_manifest(spark, d):
+    return manifest.proved(_table(spark, d, "documents"), altered=manifest.tampered()).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 ORACLES["op10_warc_revisits"] = warc.SQL
+ORACLES["op11_merkle_manifest"] = manifest.SQL
