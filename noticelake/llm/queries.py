@@ -18,6 +18,7 @@ from noticelake.llm import (
     recompression,
     simhash,
     suffixes,
+    toxicity,
     warc,
 )
 
@@ -102,5 +103,11 @@ def op11_merkle_manifest(spark, d):
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+@query
+def op12_toxicity(spark, d):
+    documents = _table(spark, d, "documents")
+    return toxicity.toxic(documents, toxicity.train(documents, _table(spark, d, "labels")))
+
+
 ORACLES["op10_warc_revisits"] = warc.SQL
 ORACLES["op11_merkle_manifest"] = manifest.SQL

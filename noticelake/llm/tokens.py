@@ -50,6 +50,11 @@ NOT_ALNUM = ~(
 LOWER = np.where((_bytes >= 65) & (_bytes <= 90), _bytes + 32, _bytes).astype(np.uint8)
 
 
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """The random value of each byte, as sums of ``BYTES`` need them."""
+    return _BYTE[data]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit of a hash over all bits."""
     x = (x ^ (x >> U64(33))) * U64(0xFF51AFD7ED558CCD)
