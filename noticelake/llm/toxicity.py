@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -237,9 +237,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     learnt = learnt.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in learnt.groupBy("toxic").count().collect()}
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # The rank is the size bound of this broadcast.
-    chosen = F.broadcast(learnt.withColumn("rank", rank).filter(F.col("rank") <= sample).drop("rank"))
+    clean, bad = (learnt.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1))
+    chosen = F.broadcast(clean.unionByName(bad))  # the limits are its size bound
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
 
     def emit(batches: Iterator[pa.RecordBatch]):
