@@ -13,6 +13,7 @@ from noticelake.llm import (
     hosts,
     language,
     manifest,
+    negatives,
     packing,
     quality,
     recompression,
@@ -109,5 +110,13 @@ def op12_toxicity(spark, d):
     return toxicity.toxic(documents, toxicity.train(documents, _table(spark, d, "labels")))
 
 
+@query
+def op13_hard_negatives(spark, d):
+    rows = _table(spark, d, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mined(rows, F.col("id") % 100 == 0)
+
+
 ORACLES["op10_warc_revisits"] = warc.SQL
 ORACLES["op11_merkle_manifest"] = manifest.SQL
+ORACLES["op13_hard_negatives"] = negatives.SQL
