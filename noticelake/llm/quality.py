@@ -7,7 +7,8 @@ logistic of the sum of its table entries, so scoring is a few vectorised look-up
 The model is fitted on at most ``SAMPLE`` labelled documents, those with the smallest hash of
 their id. All documents are scored in one pass without a shuffle.
 
-Defined results: null and empty texts are scored as texts without words; texts are read whole;
+Defined results: null and empty texts are scored as texts without words; texts are read whole,
+a score depends on its text alone;
 a null doc_id is not held out and is never learnt from; repeated rows score alike; labels without
 a quality, or all of one class, leave a constant score, the share of label 1 (0.5 without any);
 empty tables give empty results; extra columns pass through.
@@ -71,9 +72,8 @@ def features(texts: pa.Array) -> np.ndarray:
     with np.errstate(over="ignore"):
         for chunk in tk.chunks(texts):
             n = chunk.documents
-            kinds = {k: np.concatenate([[0], np.cumsum(v[chunk.data], dtype=np.int64)]) for k, v in _IS.items()}
-            # Words and bytes share the chunk, so byte counts per document end at its last word.
-            first = np.append(chunk.starts, len(chunk.data))[chunk.offsets]
+            kinds = {k: np.concatenate([[0], np.cumsum(v[chunk.data], dtype=np.int32)]) for k, v in _IS.items()}
+            first = chunk.bounds
             total = np.maximum(np.diff(first), 1)
             words = np.diff(chunk.offsets)
             some = np.maximum(words, 1)
@@ -83,7 +83,10 @@ def features(texts: pa.Array) -> np.ndarray:
             letters = size - in_word["symbol"] - in_word["stop"] - in_word["loud"] - in_word["digit"]
             same = np.zeros(len(size), bool)
             same[1:] = (chunk.hashes[1:] == chunk.hashes[:-1]) & (document[1:] == document[:-1])
-            pairs = chunk.hashes + np.roll(chunk.hashes, -1) * np.uint64(0x9E3779B97F4A7C15)
+            # Two words that follow each other in one document.
+            pairs = chunk.hashes[:-1] + chunk.hashes[1:] * np.uint64(0x9E3779B97F4A7C15)
+            inside = document[1:] == document[:-1]
+            pairs, of_pair = pairs[inside], document[:-1][inside]
             rows = [(v[first[1:]] - v[first[:-1]]) / total for v in kinds.values()]
             rows += [
                 np.log1p(words), _per_document(size, chunk.offsets) / some,
@@ -92,7 +95,7 @@ def features(texts: pa.Array) -> np.ndarray:
                 _per_document(size == 1, chunk.offsets) / some,
                 _per_document(in_word["symbol"] * 2 >= size, chunk.offsets) / some,
                 _per_document((in_word["upper"] == letters) & (letters > 1), chunk.offsets) / some,
-                1 - _distinct(pairs, document, n) / some,
+                (np.maximum(words - 1, 0) - _distinct(pairs, of_pair, n)) / np.maximum(words - 1, 1),
             ]
             out[chunk.first: chunk.first + n] = np.stack(rows, axis=1)
     return out
@@ -247,5 +250,6 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that score below ``threshold``."""
-    return scored(docs, model, "_score").filter(F.col("_score") >= threshold).drop("_score")
+    """``docs`` without those that score below ``threshold``. Extra columns may have any name."""
+    plain, named = tk.plain_names(docs)
+    return named(scored(plain, model, "_score").filter(F.col("_score") >= threshold))

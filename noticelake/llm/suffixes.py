@@ -10,7 +10,7 @@ words that are covered by a repeated window.
 Defined results: null and empty texts have no windows; texts are taken whole at any length; ties
 are settled by the smallest document, then the earliest start; rows with one doc_id are one
 document, rows without one are known by their text; an empty table gives an empty result; extra
-columns pass through and must not start with an underscore.
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -132,6 +132,7 @@ def _cut(batches: Iterator[pa.RecordBatch]):
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated passages cut out of their texts. All rows stay."""
-    keyed = tk.document_key(docs)
+    plain, named = tk.plain_names(docs)
+    keyed = tk.document_key(plain)
     spans = word_spans(repeated_runs(keyed, length, minimisers), length)
-    return apply_spans(keyed, spans, _cut, docs.schema)
+    return named(apply_spans(keyed, spans, _cut, plain.schema))

@@ -8,7 +8,7 @@ bounded size, whole documents at a time, so a task's memory does not grow with i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -106,6 +106,7 @@ class Chunk:
     starts: np.ndarray  # byte positions in ``data``
     ends: np.ndarray
     data: np.ndarray
+    bounds: np.ndarray  # first byte of each document, and the count of bytes at the end
 
     @property
     def documents(self) -> int:
@@ -151,7 +152,22 @@ def _chunk(first, data, bounds, separators, fold) -> Chunk:
     starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     with np.errstate(over="ignore"):
         hashes = BYTES.of(BYTES.prefix(_BYTE[data]), starts, ends)
-    return Chunk(first, np.searchsorted(starts, bounds), hashes, starts, ends, data)
+    return Chunk(first, np.searchsorted(starts, bounds), hashes, starts, ends, data, bounds)
+
+
+def plain_names(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` without column names that operators use inside, and a way back to the old columns.
+
+    Those names begin with an underscore.
+    """
+    taken, new = {c.lower() for c in df.columns}, []
+    for i, c in enumerate(df.columns):
+        name = c
+        while name.startswith("_") or (name != c and name.lower() in taken):
+            name = f"extra{i}{name}"
+        new.append(name)
+    old = df.columns
+    return df.toDF(*new), lambda out: out.select(*new).toDF(*old)
 
 
 def document_key(df: DataFrame, key: str = "_key", doc_id: str = "doc_id",

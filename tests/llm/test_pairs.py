@@ -1,13 +1,16 @@
 """Operators 2 and 4 against brute force."""
 
 import random
+
+import pytest
 import re
 
 import numpy as np
 import samples
+from pyspark.sql import functions as F
 import xxhash
 
-from noticelake.llm import decontaminate, simhash
+from noticelake.llm import decontaminate, simhash, similar
 from noticelake.llm.components import components
 
 
@@ -253,3 +256,53 @@ def test_blocks_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 20)
     assert sorted(tuple(r) for r in decontaminate.overlaps(docs, bench).collect()) == one
     assert sorted(map(str, decontaminate.overlaps(leaks, known).collect())) == two
+
+
+def test_all_texts_of_a_repeated_id_stay(spark):
+    """Copies go, other texts of the same doc_id do not; columns with any name pass through."""
+    rows = [(1, samples.prose(1, 60), "a", "b"), (1, samples.prose(2, 60), "c", "d"), (1, samples.prose(2, 60), "c", "d"),
+            (2, samples.prose(2, 60) + " more", "e", "f"), (None, samples.prose(3, 60), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _point string")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(repr, (tuple(r) for r in kept.collect()))) == sorted(map(repr, [rows[0], rows[1], rows[4]]))
+
+
+def boilerplate(n: int) -> list[tuple[int, str]]:
+    common = samples.prose(600, 150)
+    return [(i, f"{common} {samples.prose(7000 + i, 90, 10**6)}") for i in range(n)]
+
+
+def test_common_boilerplate_gives_no_candidates(spark, monkeypatch):
+    """Texts that share most of their words but stay below 0.8 share keys, but their sketches part them."""
+    counts = []
+    real = similar.stored
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("pairs", "partners"):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "stored", counted)
+    for n in (300, 900):
+        counts.clear()
+        docs = [(i, t, None, None, None, "x", 1, "k", None, 1, 2) for i, t in boilerplate(n)]
+        assert simhash.one_of_each(samples.frame(spark, docs)).count() == n
+        assert sum(counts) <= n
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_groups_in_blocks_of_any_size(spark, block):
+    """Chains of copies that the hubs miss are found by pairs of blocks."""
+    texts, r = [], random.Random(4)
+    for family in range(6):
+        words = samples.prose(8000 + family, 90).split()
+        for n in range(14):  # each copy changes the one before
+            texts.append((family * 100 + n, " ".join(words)))
+            words[r.randrange(90)] = f"new{r.randrange(10**6)}"
+    keyed = spark.createDataFrame(texts, "_key long, text string").withColumn("_point", F.xxhash64("text"))
+    root = {x.first: x.root for x in similar.groups(keyed, block).collect()}
+    by = dict(texts)
+    linked = smallest(sorted(by), lambda a, b: a // 100 == b // 100 and jaccard(by[a], by[b]) >= 0.8)
+    assert all((root[a] == root[b]) == (linked[a] == linked[b]) for a in by for b in by)
