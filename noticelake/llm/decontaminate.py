@@ -53,6 +53,7 @@ def masked(hashes: np.ndarray, at: np.ndarray, positions, tag: int) -> np.ndarra
     return tk.mix(total)
 
 
+@tk.tidy
 def _test_windows(batches: Iterator[pa.RecordBatch]):
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -141,6 +142,7 @@ def _block(windows: DataFrame, blocks: int, i: int):
 
 
 def _hits(block):
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         test = block.value
         with np.errstate(over="ignore"):
@@ -183,6 +185,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _clean(block):
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         with np.errstate(over="ignore"):
             for batch in batches:

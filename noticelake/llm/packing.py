@@ -172,6 +172,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     ids_kind = ", ids array<int>" if with_ids else ""
     end = np.array([end_id], "<u4").tobytes()
 
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         words = WordIds(path or vocabulary_path())
         packer = Packer(TaskContext.get().partitionId(), capacity, windows, piece, slack)

@@ -220,6 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # The limit is the size bound of this broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             rows = pa.array(features(batch.column("text")).ravel())
@@ -241,6 +242,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     tk.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             score = pa.array(shared.value.score(features(batch.column("text"))))

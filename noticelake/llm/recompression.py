@@ -125,6 +125,7 @@ def substring_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return word_spans(repeated_runs(docs, length, symbols), length)
 
 
+@tk.tidy
 def _digests(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         n, gone, sha = [], [], []

@@ -68,6 +68,7 @@ def _runs(chunk: tk.Chunk, length: int, anchors: Anchors):
 
 
 def _names(length: int, anchors: Anchors):
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -85,6 +86,7 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
 def _rows(length: int, anchors: Anchors, repeated):
     """Groups of adjacent runs; a group ends where a name says so, whatever stands around it."""
 
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         bitmap = repeated.value
         with np.errstate(over="ignore"):
@@ -123,6 +125,7 @@ def _rows(length: int, anchors: Anchors, repeated):
     return emit
 
 
+@tk.tidy
 def _compare_neighbours(batches: Iterator[pa.RecordBatch]):
     """Mark runs whose neighbour in the order has the same name; rows at an edge count as such."""
     last = None  # the batch before, whose last row waits for its right neighbour
@@ -152,6 +155,7 @@ def _windows(length: int, places: bool = False):
     """Two hashes of every window of the runs listed with each text; with ``places`` also the
     starts of its run and of its group."""
 
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -184,6 +188,7 @@ def _windows(length: int, places: bool = False):
 
 
 def _having(bitmap, wanted: bool = True):
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             found = maybe_in(bitmap.value, batch.column("_key").to_numpy())
@@ -209,6 +214,7 @@ def repeated_runs(docs: DataFrame, length: int, anchors: Anchors, every: bool =
     names = docs.mapInArrow(_names(length, anchors), "a long").groupBy("a").count()
     repeated = spark.sparkContext.broadcast(bitmap_of(names.filter("count > 1"), "a"))
     groups = stored(docs.mapInArrow(_rows(length, anchors, repeated), GROUPS), "groups")
+    repeated.destroy()
     heads = groups.groupBy("g", "n").agg(F.min(F.struct("k", "s")).alias("f"), F.count("*").alias("copies"))
     heads = stored(heads.filter("copies > 1").select("g", "n", F.col("f.k").alias("source"), F.col("f.s").alias("at")),
                    "heads")
@@ -247,6 +253,7 @@ def repeated_runs(docs: DataFrame, length: int, anchors: Anchors, every: bool =
             _windows(length, every), "w long, v long, k long, s int" + (", r int, q int" if every else "")),
         "windows",
     )
+    wanted.destroy()
     firsts = windows.groupBy("w", "v").agg(
         F.min(F.struct("k", "s")).alias("f"), F.count("*").alias("times")
     ).filter("times > 1")
@@ -309,6 +316,7 @@ def apply_spans(docs: DataFrame, spans: DataFrame, function, schema) -> DataFram
 _SPANS = pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))
 
 
+@tk.tidy
 def _merged(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         lists = batch.column("_spans")

@@ -99,6 +99,7 @@ def home(part: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchors(threshold: int, n: int):
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             points = batch.column("fp").to_numpy().view(_U)
@@ -189,6 +190,7 @@ def _links_of(points: np.ndarray, sizes: np.ndarray, at_home: np.ndarray, thresh
 def _compare(threshold: int, n: int):
     """Links of each anchor and block pair; the rows come sorted by both."""
 
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         held: list[np.ndarray] = []
 
@@ -238,6 +240,7 @@ def links(points: DataFrame, threshold: int = THRESHOLD, n: int = SEGMENTS, bloc
 
 
 def _prints(words: int):
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             found = fingerprints(batch.column("text"), words).view(np.int64)

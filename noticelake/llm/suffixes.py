@@ -51,6 +51,7 @@ def minimisers(hashes: np.ndarray, starts: np.ndarray, length: int, seed: int =
 def _sourced(length: int):
     """Merged stretches of each document, and per stretch the sources of its windows."""
 
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             lists = batch.column("_links")
@@ -106,6 +107,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
                             "sources array<struct<start:long,end:long,doc_id:long>>")
 
 
+@tk.tidy
 def _cut(batches: Iterator[pa.RecordBatch]):
     """Texts without the listed words. What stood between kept words stays as it was."""
     for batch in batches:

@@ -7,9 +7,12 @@ bounded size, whole documents at a time, so a task's memory does not grow with i
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: glibc's call that returns free memory; other systems have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: A random value for each byte, from a fixed seed.
@@ -50,6 +55,31 @@ NOT_ALNUM = ~(
 LOWER = np.where((_bytes >= 65) & (_bytes <= 90), _bytes + 32, _bytes).astype(np.uint8)
 
 
+def give_back() -> None:
+    """Return what allocators and growing arrays of this process keep to the system."""
+    for powers in (BYTES, WORDS, WORDS_2):
+        powers.up = powers.down = np.ones(1, U64)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(emit):
+    """A function over Arrow batches that gives its memory back at its end.
+
+    Workers live on from task to task, and what allocators keep of each adds up over a session.
+    """
+    @wraps(emit)
+    def run(batches):
+        try:
+            yield from emit(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def byte_values(data: np.ndarray) -> np.ndarray:
     """The random value of each byte, as sums of ``BYTES`` need them."""
     return _BYTE[data]

@@ -241,6 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = F.broadcast(clean.unionByName(bad))  # the limits are its size bound
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
 
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for chunk in tk.chunks(batch.column("text")):
@@ -275,6 +276,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     tk.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tk.tidy
     def emit(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             score = pa.array(shared.value.score(batch.column("text")))
