@@ -38,8 +38,9 @@ from noticelake.session import scratch_path
 Anchors = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 
 GROUPS = "g long, k long, s int, n int, as array<long>, cs array<long>, ss array<int>, ns array<int>"
-#: One name in so many ends a group of runs.
-GROUP = 16
+#: One name in so many ends a group of runs. A passage of 50 to 100 words has about a dozen runs, and
+#: those at its ends differ from copy to copy, so groups must be short to lie inside it.
+GROUP = 4
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
