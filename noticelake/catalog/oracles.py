@@ -335,7 +335,7 @@ ORACLES["q26b_row_accounting"] = f"""WITH {_LISTED}
 SELECT CAST(page_id AS VARCHAR) AS department_id, count(*) AS row_total,
        count(*) FILTER (title = '') AS row_failures FROM rows_ GROUP BY page_id"""
 ORACLES["q26c_selector_errors"] = """SELECT 'selector' AS stage, url, concat('unsupported selector: ',
-  CASE WHEN contains(url, '/fr/') THEN 'nav > li' ELSE 'a[rel]' END) AS message, false AS retryable
+  CASE WHEN contains(url, '/fr/') THEN 'nav::li' ELSE 'a:hover' END) AS message, false AS retryable
 FROM pages WHERE contains(url, '/fr/') OR contains(url, '/de/')"""
 
 ORACLES["q27_commit"] = f"""{_RUNS},

@@ -629,7 +629,7 @@ def _page_boards(spark, d) -> DataFrame:
     """Every page as a board; French pages have an unknown selector, German ones a wrong
     optional one."""
     url = F.col("url")
-    bad = F.when(url.contains("/fr/"), "nav > li").otherwise("nav li:has(a)")
+    bad = F.when(url.contains("/fr/"), "nav::li").otherwise("nav li:has(a)")
     return _pages(spark, d).select(
         urls.host(url).alias("campus"),
         F.lit("").alias("college"),
@@ -642,7 +642,7 @@ def _page_boards(spark, d) -> DataFrame:
         bad.alias("row_selector"),
         F.lit("ul a").alias("title_selector"),
         F.lit("a:last-child").alias("date_selector"),
-        F.when(url.contains("/de/"), "a[rel]").otherwise("li").alias("author_selector"),
+        F.when(url.contains("/de/"), "a:hover").otherwise("li").alias("author_selector"),
         F.lit("href").alias("attr_name"),
         F.lit(None).cast("string").alias("link_selector"),
         "html",

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.config import Cleaning
 from noticelake.functions.dates import normalize_date
 from noticelake.functions.ids import canonical_id, extract_notice_id, notice_digest, notice_key
-from noticelake.functions.selectors import (
-    first_in,
-    select_nodes,
-    selector_steps,
-    selector_supported,
-)
+from noticelake.functions.selectors import selector_supported
 from noticelake.functions.text import clean_date, clean_title, has_title, strip_ws
 from noticelake.functions.urls import resolve_url
-from noticelake.sources.html_nodes import node_text, parse_pages
+from noticelake.sources.row_matcher import match_rows
 
 BOARD_KEY = ("campus", "college", "department_id", "board_url")
 _REQUIRED = ("row_selector", "title_selector", "date_selector")
@@ -56,39 +51,6 @@ def selector_errors(boards: DataFrame) -> DataFrame:
     )
 
 
-def _attribute(node: Column, name: Column) -> Column:
-    return F.coalesce(F.try_element_at(node["attrs"], name), F.lit(""))
-
-
-def _row_array(nodes: Column) -> Column:
-    steps = {
-        c: F.col(f"_{c}_steps") for c in ("row", "title", "date", "author", "link")
-    }
-    # The first transform finds the elements of a row, the second reads them.
-    found = F.transform(
-        select_nodes(nodes, nodes, steps["row"]),
-        lambda r, i: F.struct(
-            i.cast("long").alias("row_pos"),
-            first_in(nodes, r, steps["title"]).alias("title"),
-            first_in(nodes, r, steps["date"]).alias("date"),
-            first_in(nodes, r, steps["author"]).alias("author"),
-            first_in(nodes, r, steps["link"]).alias("link"),
-        ),
-    )
-    return F.transform(
-        found,
-        lambda f: F.struct(
-            f["row_pos"].alias("row_pos"),
-            F.when(f["title"].isNotNull(), node_text(nodes, f["title"])).alias("raw_title"),
-            F.when(f["date"].isNotNull(), node_text(nodes, f["date"])).alias("raw_date"),
-            F.when(f["author"].isNotNull(), node_text(nodes, f["author"])).alias("raw_author"),
-            F.when(f["link"].isNotNull(), _attribute(f["link"], F.col("attr_name")))
-            .otherwise(_attribute(f["title"], F.col("attr_name")))
-            .alias("raw_link"),
-        ),
-    )
-
-
 def extract_notice_rows(
     board_pages: DataFrame, cleaning: Cleaning, html: str = "html"
 ) -> DataFrame:
@@ -98,12 +60,7 @@ def extract_notice_rows(
     a date element and its cleaned title is not empty. A board without any row keeps one
     record with a NULL ``row_pos``, so the counts see it.
     """
-    parsed = parse_pages(board_pages, html)
-    for c in ("row", "title", "date", "author", "link"):
-        parsed = parsed.withColumn(f"_{c}_steps", selector_steps(F.col(f"{c}_selector")))
-    keep = [c for c in board_pages.columns if c != html]
-    rows = parsed.select(*keep, F.inline_outer(_row_array(F.col("nodes"))))
-    rows = rows.withColumns(
+    rows = match_rows(board_pages, html).withColumns(
         {
             "title": clean_title(F.col("raw_title"), cleaning),
             "date": clean_date(F.col("raw_date"), cleaning),

@@ -128,11 +128,11 @@ def test_link_and_author_selectors(spark):
 def test_bad_selectors(spark):
     b = boards(spark, [("https://h.com/1", PLAIN), ("https://h.com/2", PLAIN), ("https://h.com/3", PLAIN)])
     b = b.withColumn("board_id", F.lit("notice")).withColumn(
-        "date_selector", F.when(F.col("board_ord") == 0, "td > b").otherwise(F.col("date_selector"))).withColumn(
-        "author_selector", F.when(F.col("board_ord") == 1, "a[x]"))
+        "date_selector", F.when(F.col("board_ord") == 0, "td:hover").otherwise(F.col("date_selector"))).withColumn(
+        "author_selector", F.when(F.col("board_ord") == 1, "a[x=]"))
     errors = rw.selector_errors(b)
     assert rows(errors, "url", "message") == [
-        ("https://h.com/1", "unsupported selector: td > b"), ("https://h.com/2", "unsupported selector: a[x]")]
+        ("https://h.com/1", "unsupported selector: td:hover"), ("https://h.com/2", "unsupported selector: a[x=]")]
     # Only the board itself is left out, not the others that share its id.
     result = run_crawl(b.drop("html").select(*BOARDS.names), pages(
         spark, ("https://h.com/1", PLAIN), ("https://h.com/2", PLAIN)), Config(cleaning=SHIPPED_CLEANING))

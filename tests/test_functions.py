@@ -132,8 +132,9 @@ def test_long_header_is_cheap(spark):
 
 
 def test_selector_forms(spark):
-    good = ["tr:has(a.c-board-title)", "td:nth-last-child(1)", "table tr:has(a)", "li.a--b:not(.c)", ".x", "a.b.c", "*"]
-    bad = ["div > a", "#x", "a[href]", "", "a,b", "tr:has(a b)", "td:hover"]
+    good = ["tr:has(a.c-board-title)", "td:nth-last-child(1)", "table tr:has(a)", "li.a--b:not(.c)", ".x", "a.b.c", "*",
+            "div > a", "#x", "a[href]", "a,b", "td+td ~ td", "a[href^='/n?x=1']", "li:not(#x[a])", "[ a = 'b c' ]"]
+    bad = ["", "tr:has(a b)", "td:hover", "> a", "a >", "a,", "a[]", "a[b=]", "a::before", "#", "a[b='c]"]
     assert one(spark, good + bad, selector_supported) == [True] * len(good) + [False] * len(bad)
 
 

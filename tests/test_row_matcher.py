@@ -1,0 +1,71 @@
+"""Selectors inside the parse: every form by hand, and chains against a matcher that looks upwards."""
+
+import random
+
+import pytest
+
+from noticelake.catalog.queries import QUERIES
+from noticelake.sources import row_matcher as rm
+from noticelake.sources.html_nodes import TEXT
+
+HTML = ("<div id=a class='x y'><p>1<a href='/n/1' data-k='u-v'>2</a></p><p class=x>3<b>4</b><a>5</a></p></div>"
+        "<ul id=b><li>6<li class=x>7<ul><li>8</ul><li title='q r'>9</ul>")
+
+
+@pytest.mark.parametrize(("selector", "texts"), [
+    ("#a p", ["12", "345"]), ("p > a", ["2", "5"]), ("div > a", []), ("#b > li", ["6", "78", "9"]), ("[href]", ["2"]),
+    ("a[data-k|=u]", ["2"]), ("a[data-k='u-v']", ["2"]), ("[title~=r]", ["9"]), ("[title*='q r']", ["9"]),
+    ("a[href^='/n'][href$=\"1\"]", ["2"]), ("a[href^='']", []), ("b + a", ["5"]), ("p + p", ["345"]),
+    ("li ~ li", ["78", "9"]), ("p.x,b", ["345", "4"]), ("li:not(.x)", ["6", "8", "9"]), ("p:not([class]) a", ["2"]),
+    ("p:has(b) a", ["5"]), ("p:has([href])", ["12"]), ("li:last-child", ["8", "9"]), ("li:nth-last-child(2)", ["78"]),
+    ("ul li:first-child", ["6", "8"]), ("ul ul > li", ["8"]), ("LI.x", ["78"]), ("*:has(b)", ["12345", "345"]), (".x.y", ["12345"]),
+    (" #a  >  p.x ", ["345"]), ("p:hover", []), ("", []), (None, []),
+])
+def test_forms(selector, texts):
+    page = rm._Page(HTML)
+    assert [page.text(i) for i in rm.select(selector, page)] == texts
+
+
+def upwards(steps, page, pre) -> bool:
+    """Whether an element meets the last step and the rest can be met from there."""
+    *rest, (combinator, test) = steps
+    if not test(page, pre):
+        return False
+    if not rest:
+        return True
+    parent = page.nodes[pre][2]
+    sisters = [i for i in page.elements if page.nodes[i][2] == parent and i < pre]
+    around = []
+    while parent >= 0:
+        around.append(parent)
+        parent = page.nodes[parent][2]
+    places = {" ": around, ">": around[:1], "+": sisters[-1:], "~": sisters}[combinator]
+    return any(upwards(rest, page, i) for i in places)
+
+
+def test_chains_equal_a_search_upwards():
+    r = random.Random(6)
+    for _ in range(150):
+        def tree(depth):
+            return "".join(f"<{t} class='{r.choice('uvw')}' id={r.choice('ij')}>{tree(depth - 1) if depth else ''}</{t}>"
+                           for t in r.choices(["div", "span", "b"], k=r.randrange(4)))
+        page = rm._Page(tree(4))
+        selector = r.choice(["div", ".u", "*"])
+        for _ in range(r.randrange(4)):
+            selector += r.choice([" ", ">", " + ", "~"]) + r.choice(["div", "span", ".v", "#i", "*", "b:first-child", ":last-child", "*:has(.w)"])
+        (chain,) = rm.compiled(selector)
+        assert rm.select(selector, page) == [i for i in page.elements if upwards(chain, page, i)]
+
+
+def test_rows_in_the_parse():
+    parts = {"row": "ul > li:has(a)", "title": "a", "date": "i", "author": "b, s", "link": None}
+    html = "<a>no</a><ul><li><a href=/1>T<i>D</i></a><s>S</s><b>B</b><li>none<li><a>U</a></ul>"
+    assert rm.listing_rows(html, parts, "href") == [(0, "TD", "D", "S", "/1"), (1, "U", None, None, "")]
+    assert rm.listing_rows(None, parts, "href") == [] == rm.listing_rows(html, {**parts, "row": None}, None)
+    assert rm.listing_rows("<ul><li><a>1</a></ul>", {**parts, "title": "li a"}, None) == [(0, "1", None, None, "")]
+    assert not any(n[0] == TEXT and not n[6] for n in rm._Page("<p>x</p>").nodes)
+
+
+def test_no_array_of_nodes_leaves_the_parse(spark, sf_dir):
+    plan = QUERIES["q26_extract_rows"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "rsib" not in plan and "raw_title" in plan
