@@ -434,6 +434,7 @@ ORACLES["q28d_crawl_notices"] = f"""WITH {_SITE_ROWS}, {_dated('good_rows', 'g')
 SELECT campus, college, department_id, department_name, board_id, board_name,
   concat(o_orderstatus, ' & notice ', o_orderkey) AS title, raw_date AS date, link, source_id, id, notice_key
 FROM g"""
+ORACLES["q28g_repeated_pages"] = ORACLES["q28d_crawl_notices"]
 _OUTCOME = f"""{_SITE_ROWS}, totals AS (SELECT (SELECT count(*) FROM board) AS board_total,
   (SELECT count(*) FROM board WHERE has_page = 0) AS board_failures,
   (SELECT count(*) FROM listed) AS notice_total,
@@ -463,3 +464,4 @@ UNION ALL SELECT 1, 'safe', (SELECT count(*) FROM now_), (SELECT count(*) FROM b
   (SELECT count(*) FROM now_ WHERE notice_key NOT IN (SELECT notice_key FROM before_)),
   (SELECT count(*) FROM now_ w JOIN before_ b USING (notice_key) WHERE w.title <> b.title),
   (SELECT count(*) FROM before_ WHERE notice_key NOT IN (SELECT notice_key FROM now_))"""
+ORACLES["q26d_selector_forms"] = ORACLES["q26_extract_rows"]

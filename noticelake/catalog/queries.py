@@ -654,6 +654,19 @@ def _listing_rows(spark, d) -> DataFrame:
     return rw.extract_notice_rows(boards, Cleaning(title_removals=("the", "de"))).drop("author_selector")
 
 
+@query
+def q26d_selector_forms(spark, d):
+    """The rows of q26 by selectors with attributes, ids, combinators and lists."""
+    boards = rw.check_selectors(_page_boards(spark, d).withColumns({
+        "row_selector": F.when(F.col("row_selector") == "nav::li", F.col("row_selector")).otherwise(
+            "nav > ul > li:has([href]), #none ~ li"),
+        "title_selector": F.lit("ul > li > [href^='/'], i + b"),
+        "date_selector": F.lit("li > a:last-child:not([data-x='1'])"),
+        "author_selector": F.when(F.col("author_selector") == "li", "nav ul > li")})).filter("invalid_selector IS NULL")
+    rows = rw.extract_notice_rows(boards, Cleaning(title_removals=("the", "de"))).drop("author_selector")
+    return rw.rows_to_notices(rows).select("department_id", "row_pos", "title", "date", "author", "link")
+
+
 @query
 def q26c_selector_errors(spark, d):
     errors = rw.selector_errors(_page_boards(spark, d).drop("html"))
@@ -734,6 +747,20 @@ def q28d_crawl_notices(spark, d):
     return run_crawl(boards.select(*BOARDS.names), pages, config).notices.drop("is_pinned", "author")
 
 
+@query
+def q28g_repeated_pages(spark, d):
+    """q28d over pages that are all stored twice, the older fetch cut in half."""
+    config, seeds, pages, _ = _site_config(spark, d)
+    old = pages.select(F.xxhash64("url", F.lit("old")).alias("page_id"), "url",
+                       F.expr("substr(html, 1, CAST(length(html) / 2 AS INT))").alias("html"))
+    path = scratch_path(spark, "fetches")
+    pages.withColumn("fetched_at", F.lit("2024-02-01").cast("timestamp")).unionByName(
+        old.withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp"))).write.parquet(path)
+    twice = read_pages(spark, path, fetched=True)
+    boards = run_map(seeds, twice, config).boards
+    return run_crawl(boards.select(*BOARDS.names), twice, config).notices.drop("is_pinned", "author")
+
+
 @query
 def q28e_crawl_outcome(spark, d):
     config, seeds, pages, _ = _site_config(spark, d)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticelake.session import scratch_path
+
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key in the given order.
@@ -43,13 +45,29 @@ def join_dimension(
     return fact.join(F.broadcast(dimension) if small else dimension, on, how)
 
 
+def latest_fetch(pages: DataFrame) -> Column:
+    """What orders the fetches of a URL: when they were made, where that is known, then the page id."""
+    return F.struct(*[c for c in ("fetched_at", "page_id") if c in pages.columns])
+
+
+def latest_pages(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """``(url, page_id)`` of the last fetch of each of the stored ``urls``; html is not read."""
+    found = join_dimension(pages.select("url", latest_fetch(pages).alias("_fetch")), urls, "url", "left_semi")
+    return found.groupBy("url").agg(F.max("_fetch").alias("_fetch")).select("url", "_fetch.page_id")
+
+
 def with_html(owners: DataFrame, pages: DataFrame, url: str) -> DataFrame:
     """Stored rows with the html of the page in their column ``url``; rows without one go.
 
-    The owners travel to the pages while their number is within the bound: html is what must
-    not be shuffled.
+    Of several fetches of a URL the last one counts. It is found on ids alone; then the owners
+    travel to its row by page id while their number is within the bound: html is what must not
+    be shuffled.
     """
-    return join_dimension(pages.select(F.col("url").alias(url), "html"), owners, url, "inner")
+    spark = owners.sparkSession
+    last = latest_pages(pages, owners.select(F.col(url).alias("url")).distinct())
+    path = scratch_path(spark, "fetches")
+    owners.join(last.withColumnRenamed("url", url), url).write.parquet(path)
+    return join_dimension(pages.select("page_id", "html"), spark.read.parquet(path), "page_id", "inner").drop("page_id")
 
 
 def without_page(owners: DataFrame, pages: DataFrame, url: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from noticelake.config import CmsPattern, Discovery, Keyword, Selectors
 from noticelake.functions.urls import host, resolve_url
-from noticelake.operators.dedupe import first_per_key
+from noticelake.operators.dedupe import first_per_key, join_dimension, latest_fetch
 from noticelake.functions.text import strip_ws
 from noticelake.sources.html_nodes import node_text, parse_pages
 
@@ -186,13 +186,16 @@ def detect_cms(url: Column, html: Column, patterns: Sequence[CmsPattern]) -> Col
 def resolve_selectors(boards: DataFrame, pages: DataFrame, rules: Discovery) -> DataFrame:
     """Selectors per board: homepage layout (``detected``), own page's layout, fallback.
 
-    Detection runs inside the page scan, so only URL and selectors are shuffled, never html.
+    ``boards`` are stored. Only the last fetch of a board's page is looked into, and detection runs
+    inside the scan: URL and layout are shuffled, never html.
     """
-    own = pages.select(
-        F.col("url").alias("board_url"),
-        detect_cms(F.col("url"), F.col("html"), rules.patterns)["selectors"].alias("_own"),
-    ).filter("_own IS NOT NULL")
-    chosen = F.coalesce(F.col("detected"), F.col("_own"), selector_columns(rules.fallback))
+    read = pages.select(F.col("url").alias("board_url"), latest_fetch(pages).alias("_fetch"), "html")
+    layout = detect_cms(F.col("board_url"), F.col("html"), rules.patterns)["selectors"]
+    own = join_dimension(read, boards.select("board_url").distinct(), "board_url", "left_semi").select(
+        "board_url", "_fetch", layout.alias("_layout"))
+    # A struct around the layout: the last fetch decides even if no pattern knows it.
+    own = own.groupBy("board_url").agg(F.max_by(F.struct("_layout"), "_fetch").alias("_own"))
+    chosen = F.coalesce(F.col("detected"), F.col("_own._layout"), selector_columns(rules.fallback))
     joined = boards.join(own, "board_url", "left").withColumn("_chosen", chosen)
     return joined.select(
         *[c for c in boards.columns if c != "detected"], "_chosen.*"

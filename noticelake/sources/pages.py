@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from noticelake.schemas import PAGES
 from noticelake.session import spread
@@ -12,11 +13,16 @@ MAX_BODY_BYTES = 2_000_000
 TRANSPORT_ERRORS = ("timeout", "connect", "request")
 
 
-def read_pages(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Pages ``(page_id, url, html)``; one row per URL."""
+def read_pages(spark: SparkSession, path: str, stream: bool = False, fetched: bool = False) -> DataFrame:
+    """Pages ``(page_id, url, html)``, with ``fetched`` also the time of the fetch.
+
+    A URL may have several rows; jobs read the last fetch, or the largest page id where times are
+    not stored.
+    """
+    schema = StructType([*PAGES, StructField("fetched_at", TimestampType())]) if fetched else PAGES
     if stream:
-        return spark.readStream.schema(PAGES).parquet(path)
-    return spread(spark.read.schema(PAGES).parquet(path))
+        return spark.readStream.schema(schema).parquet(path)
+    return spread(spark.read.schema(schema).parquet(path))
 
 
 def fetch_outcome(
