@@ -465,3 +465,13 @@ UNION ALL SELECT 1, 'safe', (SELECT count(*) FROM now_), (SELECT count(*) FROM b
   (SELECT count(*) FROM now_ w JOIN before_ b USING (notice_key) WHERE w.title <> b.title),
   (SELECT count(*) FROM before_ WHERE notice_key NOT IN (SELECT notice_key FROM now_))"""
 ORACLES["q26d_selector_forms"] = ORACLES["q26_extract_rows"]
+# Rows of the first run are all archived by the second: its own cold ones, and those of its month.
+ORACLES["q27c_rollover"] = f"""{_RUNS}, dated AS (
+SELECT notice_key, title, 0 AS o, day, CAST(coalesce(year(day), 2000) AS BIGINT) AS year,
+       CAST(coalesce(month(day), 12) AS BIGINT) AS month FROM before_
+UNION ALL SELECT notice_key, title, 1, day, CAST(coalesce(year(day), 2001) AS BIGINT), CAST(coalesce(month(day), 7) AS BIGINT)
+FROM now_)
+SELECT notice_key, title, year, month FROM dated
+WHERE (o = 0 AND NOT (year = 2000 AND month = 12)) OR (o = 1 AND NOT (year = 2001 AND month = 7))
+   OR (o = 0 AND notice_key NOT IN (SELECT notice_key FROM now_))
+QUALIFY row_number() OVER (PARTITION BY notice_key, year, month ORDER BY o) = 1"""

@@ -264,9 +264,10 @@ def _cold(spark, n: DataFrame) -> DataFrame:
 def q10_archive_merge(spark, d):
     lake = NoticeLake(spark, scratch_path(spark, "archive"))
     n = _stored(spark, v.notices(spark, d))
-    for run in (v.earlier_run(n), v.later_run(n)):
-        merge_archive(_cold(spark, run), lake)
-    return lake.archive().select(
+    folders = []
+    for part, run in (("r1", v.earlier_run(n)), ("r2", v.later_run(n))):
+        _, folders = merge_archive(_cold(spark, run), lake, part, folders)
+    return lake.archive(folders).select(
         "notice_key", "title",
         F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month"),
     )
@@ -275,7 +276,8 @@ def q10_archive_merge(spark, d):
 @query
 def q10b_read_archives(spark, d):
     lake = NoticeLake(spark, scratch_path(spark, "archive"))
-    merge_archive(_stored(spark, _cold(spark, v.notices(spark, d))), lake)
+    commit_snapshot(spark, _stored(spark, v.notices(spark, d)), lake.root, "r1", v.AS_OF,
+                    CommitOptions(calculate_diff=False, generate_index=False))
     read = lake.read_archives([(2001, 6), (2001, 5), (1901, 1)]).unionByName(
         lake.read_archive(2000, 12)
     )
@@ -694,6 +696,22 @@ def q27_commit(spark, d):
     )
 
 
+@query
+def q27c_rollover(spark, d):
+    """The archive after two runs in different months, with a run between them that died before
+    its manifest row, and every month rewritten by the second."""
+    lake = NoticeLake(spark, scratch_path(spark, "lake"))
+    n = _stored(spark, v.notices(spark, d))
+    options = CommitOptions(calculate_diff=False, generate_index=False)
+    commit_snapshot(spark, v.earlier_run(n), lake.root, "r1", "2000-12-10", options)
+    dead = v.later_run(n).withColumn("title", F.lit("of a run that died"))
+    merge_archive(_cold(spark, dead), lake, "r2", lake.archive_folders(), most=1)
+    commit_snapshot(spark, v.later_run(n), lake.root, "r3", v.AS_OF, options)
+    return lake.archive().select(
+        "notice_key", "title",
+        F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month"))
+
+
 @query
 def q27b_feed_after_commit(spark, d):
     root = scratch_path(spark, "lake")

@@ -119,6 +119,7 @@ MANIFEST = _struct(
     index_version=I,
     index_notice_count=L,
     index_token_count=L,
+    archive=T.ArrayType(S),
 )
 
 ERRORS = _struct(

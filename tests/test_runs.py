@@ -10,6 +10,7 @@ from noticelake.operators import feed as fd
 from noticelake.operators import index as ix
 from noticelake.operators import snapshot as sn
 from noticelake.operators.dedupe import dedupe_first, id_collisions, join_dimension
+from noticelake.operators.feed import in_months
 from noticelake.plans.commit import commit_snapshot, merge_archive
 from noticelake.plans.feed import feed
 from noticelake.sources.lake import ARCHIVE, NoticeLake
@@ -159,13 +160,53 @@ def test_archive_merge_is_idempotent_and_pruned(spark, tmp_path):
     lake = NoticeLake(spark, str(tmp_path / "lake"))
     frame = numbered(spark, 30).unionByName(numbered(spark, 30, "2025-12-01")).unionByName(numbered(spark, 3, "2025-11-01"))
     cold = sn.month_partition(frame, "2027-01-01").select(*ARCHIVE.names)
-    assert merge_archive(cold, lake) == 3 and merge_archive(cold, lake) == 3
-    assert lake.archive().count() == 63
-    some = lake.read_archives([(2025, 12), (2026, 2), (1999, 1)])
+    months, folders = merge_archive(cold, lake, "a", [])
+    assert months == 3 and merge_archive(cold, lake, "b", folders) == (3, folders)
+    assert merge_archive(cold, lake, "a", []) == (3, folders)
+    assert lake.archive(folders).count() == 63 and lake.archive().count() == 0
+    some = in_months(lake.archive(folders), [(2025, 12), (2026, 2), (1999, 1)])
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert some.count() == 60 and "PartitionFilters: [" in plan and "year" in plan.split("PartitionFilters: [")[1][:80]
 
 
+def state(lake):
+    return {t: rows(df, "notice_key", "title") for t, df in (
+        ("archive", lake.archive()), ("current", lake.read_current()), ("snapshot", lake.read_snapshot()))}
+
+
+def test_a_run_that_dies_before_its_row_leaves_no_trace(spark, tmp_path, monkeypatch):
+    """Readers see the old state, another run starts from it, and a repetition gives the usual result."""
+    root, lake = str(tmp_path / "lake"), NoticeLake(spark, str(tmp_path / "lake"))
+    first = numbered(spark, 30).unionByName(numbered(spark, 20, "2026-01-05"))
+    late = first.unionByName(numbered(spark, 7, "2025-12-24")).withColumn("title", F.lit("late"))
+    commit(spark, root, "r1", first)
+    before = state(lake)
+    with monkeypatch.context() as m:
+        m.setattr(NoticeLake, "publish", lambda self, row: (_ for _ in ()).throw(RuntimeError("died")))
+        with pytest.raises(RuntimeError):
+            commit(spark, root, "r2", late)
+    assert state(lake) == before and any("part=r2" in p for p, *_ in os.walk(root))
+    commit(spark, root, "r3", first.unionByName(numbered(spark, 7, "2025-12-24")))
+    assert {t for _, t in state(lake)["archive"]} == {"t"} and lake.read_archive(2025, 12).count() == 7
+    again = commit(spark, root, "r2", late)
+    assert again["committed"] and lake.archive().count() == 27
+    assert {t for _, t in state(lake)["archive"]} == {"t"}
+
+
+def test_months_are_rewritten_when_they_have_many_folders(spark, tmp_path):
+    lake, folders, seen = NoticeLake(spark, str(tmp_path)), [], 0
+    for n in range(7):
+        more = numbered(spark, 10 * n + 10, "2026-01-05").unionByName(numbered(spark, 3, "2025-11-05"))
+        cold = sn.month_partition(more, "2027-01-01").select(*ARCHIVE.names)
+        old = folders
+        _, folders = merge_archive(cold, lake, f"p{n}", folders, most=3)
+        january = [f for f in folders if f.endswith("year=2026/month=1")]
+        assert 1 <= len(january) <= 3 and lake.archive(folders).count() == 10 * n + 13
+        assert lake.archive(old).count() == seen  # who still reads the list before sees what it held
+        seen = 10 * n + 13
+    assert [f for f in folders if f.endswith("month=11")] == ["part=p0/year=2025/month=11"]
+
+
 def test_diff_invariants(spark, sf_dir):
     from noticelake.catalog import views as v
 
