@@ -475,3 +475,12 @@ SELECT notice_key, title, year, month FROM dated
 WHERE (o = 0 AND NOT (year = 2000 AND month = 12)) OR (o = 1 AND NOT (year = 2001 AND month = 7))
    OR (o = 0 AND notice_key NOT IN (SELECT notice_key FROM now_))
 QUALIFY row_number() OVER (PARTITION BY notice_key, year, month ORDER BY o) = 1"""
+ORACLES["q14e_resolve_pages"] = """WITH p AS (
+SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host,
+       regexp_extract(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '^(.*/)', 1) AS folder FROM pages),
+b AS (SELECT page_id, scheme || '://User:pw@' || lower(host) AS origin,
+             CASE WHEN folder = '' THEN '/' ELSE folder END AS folder FROM p)
+SELECT page_id, 0 AS form, origin || '/c/d' || page_id AS link FROM b
+UNION ALL SELECT page_id, 1, origin || folder || 'x?q={' || page_id || '}%27' FROM b
+UNION ALL SELECT page_id, 2, origin || folder || 'y' || page_id FROM b
+UNION ALL SELECT page_id, 3, origin || folder || '%7Ba%7D%60#{b}%60' FROM b"""

@@ -656,6 +656,20 @@ def _listing_rows(spark, d) -> DataFrame:
     return rw.extract_notice_rows(boards, Cleaning(title_removals=("the", "de"))).drop("author_selector")
 
 
+@query
+def q14e_resolve_pages(spark, d):
+    """Links of unusual forms against every page's URL with a user and the scheme's own port."""
+    pages = v.table(spark, d, "pages").select("page_id", "url")
+    base = F.regexp_replace("url", "^(https?)://([^/?#]*)", "$1://User:pw@$2")
+    base = F.when(F.col("url").startswith("https"), F.regexp_replace(base, "@([^/?#]*)", "@$1:443")).otherwise(
+        F.regexp_replace(base, "@([^/?#]*)", "@$1:80"))
+    n = F.col("page_id").cast("string")
+    hrefs = F.array(F.concat(F.lit("\\c\\d"), n), F.concat(F.lit("x?q={"), n, F.lit("}'")),
+                    F.concat(F.split("url", ":")[0], F.lit(":y"), n), F.lit("{a}`#{b}`"))
+    return pages.select("page_id", base.alias("base"), F.posexplode(hrefs).alias("form", "href")).select(
+        "page_id", "form", urls.resolve_url(F.col("base"), F.col("href")).alias("link"))
+
+
 @query
 def q26d_selector_forms(spark, d):
     """The rows of q26 by selectors with attributes, ids, combinators and lists."""

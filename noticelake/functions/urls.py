@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _ORIGIN = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#\\]*([^?#]*)"
-_SAFE = r"^[!-~&&[^\"<>`{}]]*\z"
+# Characters that stay as they are in a path, a query and a fragment.
+_SAFE_PATH = r"^[!-~&&[^\"<>`{}]]*\z"
+_SAFE_QUERY = r"^[!-~&&[^\"<>']]*\z"
+_SAFE_FRAGMENT = r"^[!-~&&[^\"<>`]]*\z"
 _ENDS = r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]"
 
 
@@ -18,16 +21,16 @@ def host(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_replace(authority, r":[0-9]*$", "")), F.lit(""))
 
 
-def _percent_encoded(text: Column) -> Column:
-    """Characters that a URL cannot carry as %XX of their UTF-8 bytes."""
+def _percent_encoded(text: Column, safe: str) -> Column:
+    """Characters that this part of a URL cannot carry as %XX of their UTF-8 bytes."""
     chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
     encoded = F.transform(
         chars,
-        lambda c: F.when(c.rlike(_SAFE), c)
+        lambda c: F.when(c.rlike(safe), c)
         .when(c == " ", F.lit("%20"))
         .otherwise(F.url_encode(c)),
     )
-    return F.when(text.rlike(_SAFE), text).otherwise(F.array_join(encoded, ""))
+    return F.when(text.rlike(safe), text).otherwise(F.array_join(encoded, ""))
 
 
 def _without_dots(path: Column) -> Column:
@@ -46,12 +49,17 @@ def _without_dots(path: Column) -> Column:
 
 
 def _authority(raw: Column, scheme: Column) -> Column:
-    """Lowercased authority without the scheme's own port."""
-    port = F.when(scheme == "http", F.lit(":80")).when(scheme == "https", F.lit(":443"))
-    low = F.lower(raw)
-    return F.when(
-        F.coalesce(low.endswith(port), F.lit(False)), F.substring_index(low, ":", 1)
-    ).otherwise(low)
+    """User as it is and lowercased host, without an empty port or the scheme's own."""
+    own = F.when(scheme == "http", F.lit(":80")).when(scheme == "https", F.lit(":443")).otherwise(F.lit(":"))
+    low = F.regexp_replace(F.lower(F.regexp_replace(raw, "^.*@", "")), ":$", "")
+    cut = F.when(low.endswith(own), F.substring(low, F.lit(1), F.length(low) - F.length(own))).otherwise(low)
+    return F.concat(F.regexp_extract(raw, "^(.*@)", 1), cut)
+
+
+def _forward(url: Column) -> Column:
+    """Backslashes before query and fragment are slashes to a browser."""
+    return F.concat(F.translate(F.regexp_extract(url, r"^([^?#]*)", 1), "\\", "/"),
+                    F.regexp_extract(url, r"^[^?#]*(.*)$", 1))
 
 
 # The usual case: a plain path from the root on a plain web address. No part can repeat, so
@@ -78,12 +86,19 @@ def resolve_url(base: Column, href: Column) -> Column:
     def split(v: Column) -> Column:
         b, h = v["b"], v["h"]
         path = F.regexp_extract(b, _PATH, 1)
-        scheme, hscheme = (F.lower(F.regexp_extract(x, _SCHEME, 1)) for x in (b, h))
-        absolute = F.when(h.rlike(r"^(?i:https?)://"), h).when(
-            h.startswith("//"), F.concat(scheme, F.lit(":"), h)
+        scheme = F.lower(F.regexp_extract(b, _SCHEME, 1))
+        given = F.lower(F.regexp_extract(h, _SCHEME, 1))
+        web = given.isin("http", "https")
+        # "http:x" is relative to a page of the same scheme.
+        relative = web & (given == scheme) & ~h.rlike(r"^[^:]*://")
+        hscheme = F.when(relative, F.lit("")).otherwise(given)
+        h = F.when(relative, F.regexp_replace(h, r"^[^:]*:", "")).otherwise(h)
+        far = F.regexp_replace(F.when(web, F.regexp_replace(h, r"^[^:]*:", "")).otherwise(h), "^/+", "")
+        absolute = F.when(web & ~relative, F.concat(given, F.lit("://"), far)).when(
+            h.startswith("//"), F.concat(scheme, F.lit("://"), far)
         )
         return F.struct(
-            h.alias("h"),
+            v["raw"].alias("h"),
             scheme.alias("scheme"),
             F.regexp_extract(b, _ORIGIN, 1).alias("auth"),
             F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
@@ -125,8 +140,9 @@ def resolve_url(base: Column, href: Column) -> Column:
             t["scheme"],
             F.lit("://"),
             _authority(t["auth"], t["scheme"]),
-            _percent_encoded(_without_dots(t["path"])),
-            _percent_encoded(t["rest"]),
+            _percent_encoded(_without_dots(t["path"]), _SAFE_PATH),
+            _percent_encoded(F.regexp_extract(t["rest"], r"^([^#]*)", 1), _SAFE_QUERY),
+            _percent_encoded(F.regexp_extract(t["rest"], r"^[^#]*(.*)$", 1), _SAFE_FRAGMENT),
         )
         return (
             F.when(t["no_base"], F.lit(None).cast("string"))
@@ -135,8 +151,9 @@ def resolve_url(base: Column, href: Column) -> Column:
             .otherwise(url)
         )
 
+    trimmed = F.regexp_replace(href, _ENDS, "")
     ends = F.struct(
-        F.regexp_replace(base, _ENDS, "").alias("b"), F.regexp_replace(href, _ENDS, "").alias("h")
+        _forward(F.regexp_replace(base, _ENDS, "")).alias("b"), _forward(trimmed).alias("h"), trimmed.alias("raw")
     )
     plain = F.concat(
         F.nullif(F.regexp_extract(base, _PLAIN_ORIGIN, 0), F.lit("")),

@@ -96,6 +96,30 @@ def test_resolve_url(spark, base, href, expected):
     assert frame.select(urls.resolve_url(F.col("b"), F.col("h"))).first()[0] == expected
 
 
+@pytest.mark.parametrize("base, href, expected", [
+    ("http://User:pw@Host:80/x", "y", "http://User:pw@host/y"),
+    ("https://u@h:443/x", "//O.com:443/z", "https://o.com/z"),
+    ("https://h:80/x", "y", "https://h:80/y"),
+    ("http://h:/x", "y", "http://h/y"),
+    ("http://h/a/b", r"\c\d", "http://h/c/d"),
+    ("http://h/a/b", r"c\d?e\f#g\h", r"http://h/a/c/d?e\f#g\h"),
+    ("http://h/a/b", r"\\o.com\x", "http://o.com/x"),
+    ("http://h/a/b", "///o.com/x", "http://o.com/x"),
+    (r"http://h\a\b", "c", "http://h/a/c"),
+    ("http://h/a/b", "?q='x'{y}`", "http://h/a/b?q=%27x%27{y}`"),
+    ("http://h/a/b", "/p'{q}`", "http://h/p'%7Bq%7D%60"),
+    ("http://h/a/b", "#f'{`", "http://h/a/b#f'{%60"),
+    ("http://h/a/b", "http:foo", "http://h/a/foo"),
+    ("http://h/a/b", "HTTP:/foo?x", "http://h/foo?x"),
+    ("http://h/a/b", "https:foo/x", "https://foo/x"),
+    ("http://h/a/b?k=1", "http:", "http://h/a/b?k=1"),
+    ("http://h/a/b", r"mailto:a\b", r"mailto:a\b"),
+])
+def test_resolve_like_a_browser(spark, base, href, expected):
+    frame = spark.createDataFrame([(base, href)], "b string, h string")
+    assert frame.select(urls.resolve_url(F.col("b"), F.col("h"))).first()[0] == expected
+
+
 def test_host(spark):
     raw = ["https://example.com/p", "https://sub.Example.com:8080/p", "http://u@a_b.e.com?q", "mailto:x@y", "x"]
     assert one(spark, raw, urls.host) == ["example.com", "sub.example.com", "a_b.e.com", None, None]
