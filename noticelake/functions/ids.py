@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noticelake.functions.text import strip_ws
 
+# Where links carry the number of a notice.
 _QUERY_ID = r"[?&](?:id|seq|no|idx|article_seq|articleNo)=(\p{Nd}+)"
 _PATH_ID = r"/(?:view|notice|article|board)/(\p{Nd}+)"
 
