@@ -3,9 +3,10 @@
 Of all suffixes of all documents only those that start at a minimiser are retained: in every
 window of ``length`` words, the stretch of ``SEED`` words with the smallest hash (the leftmost on
 a tie). A passage of at least ``length`` words contains a retained position in each of its
-copies. Retained suffixes, with the stretch of windows that chose them, are sorted by their seed
-and content, compared with their neighbours, and matches are extended left and right to the exact
-words that are covered by a repeated window.
+copies. Retained positions, each with the run of windows that chose it, are sorted by the hashes of
+their seed and of the run's words and compared with their neighbours; runs that differ under one seed
+are compared window by window, which gives the exact words that a repeated window covers. The order is
+one of hashes, not of words: equal runs are neighbours in it, longer common beginnings are not.
 
 Defined results: null and empty texts have no windows; texts are taken whole at any length; ties
 are settled by the smallest document, then the earliest start; rows with one doc_id are one
