@@ -208,6 +208,15 @@ ORACLES["q12e_export_index"] = f"""WITH {_PART_POSTINGS}
 SELECT token, count(*) AS doc_freq, string_agg(id, ',' ORDER BY id) AS ids FROM postings GROUP BY token"""
 ORACLES["q13b_search_stored_index"] = f"""{_N} SELECT notice_key, title FROM n
 WHERE regexp_matches(lower(title), '\\bnotice\\b') AND campus = 'ASIA' AND department_name = 'BUILDING'"""
+ORACLES["q13c_search_three_runs"] = f"""{_RUNS}, runs AS (
+SELECT 'r1' AS run_id, title, campus, department_name, notice_key FROM before_
+UNION ALL SELECT 'r2', CASE WHEN true_date >= '2000-10-01' THEN 'notice of other words' ELSE title END,
+  campus, department_name, notice_key FROM before_ WHERE true_date >= '1992-03-01'
+UNION ALL SELECT 'r3', title, campus, department_name, notice_key FROM now_)
+SELECT run_id, 'changed notice asia' AS query, notice_key FROM runs
+WHERE contains(title, '(changed)') AND contains(title, 'notice') AND campus = 'ASIA'
+UNION ALL SELECT run_id, 'other words building', notice_key FROM runs
+WHERE contains(title, 'other words') AND department_name = 'BUILDING'"""
 ORACLES["q13_index_search"] = f"""WITH {_PART_POSTINGS}
 SELECT id, title FROM part_tokens WHERE id IN (
 SELECT id FROM postings WHERE token IN ('small', 'ring') GROUP BY id HAVING count(*) = 2)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -384,6 +385,26 @@ def q13b_search_stored_index(spark, d):
     return found.select("notice_key", "title")
 
 
+@query
+def q13c_search_three_runs(spark, d):
+    """Search over the layers that three commits stored: of the second run few notices differ from
+    the first, of the third most."""
+    lake = NoticeLake(spark, scratch_path(spark, "lake"))
+    n = _stored(spark, v.notices(spark, d)).select("true_date", *NOTICES.names)
+    before = v.earlier_run(n)
+    retitled = F.when(F.col("true_date") >= "2000-10-01", F.lit("notice of other words")).otherwise(F.col("title"))
+    runs = {"r1": before, "r2": before.filter("true_date >= '1992-03-01'").withColumn("title", retitled),
+            "r3": v.later_run(n)}
+    options = CommitOptions(force=True)
+    found = []
+    for run_id, run in runs.items():
+        commit_snapshot(spark, run.drop("true_date"), lake.root, run_id, v.AS_OF, options)
+        for text in ("changed notice asia", "other words building"):
+            hits = ix.search_ids(lake.read_index(), text)
+            found.append(hits.select(F.lit(run_id).alias("run_id"), F.lit(text).alias("query"), "notice_key"))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def q13_index_search(spark, d):
     n = _part_notices(spark, d)

@@ -68,6 +68,43 @@ def export_index(postings: DataFrame, max_ids: int = 100_000) -> DataFrame:
     )
 
 
+def live(rows: DataFrame, dead: DataFrame) -> DataFrame:
+    """Rows ``(notice_key, layer, ...)`` whose key no later layer declares dead.
+
+    ``dead`` is ``(notice_key, layer)``; a layer's dead keys concern the layers before it. The filter
+    on a token reaches the scan of the postings: only hits meet the dead keys.
+    """
+    last = dead.groupBy("notice_key").agg(F.max("layer").alias("_dead"))
+    joined = rows.join(last, "notice_key", "left")
+    return joined.filter(F.col("_dead").isNull() | (F.col("layer") >= F.col("_dead"))).drop("_dead")
+
+
+def token_changes(added: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``(token, notices)``: by how much the notices of each token grew or shrank."""
+    signed = added.select("token", F.lit(1).alias("n")).unionByName(
+        dropped.select("token", F.lit(-1).alias("n"))
+    )
+    return sum_changes(signed.select("token", F.col("n").cast("long").alias("notices")))
+
+
+def sum_changes(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("token").agg(F.sum("notices").alias("notices")).filter("notices <> 0")
+
+
+def first_to_merge(sizes: list[int], fan: int = 2) -> int:
+    """The oldest of the newest layers to merge into one; the newest itself means none.
+
+    Layers are taken in while the one before holds less than ``fan`` times what is taken so far.
+    What stays has sizes that fall at least by ``fan`` each, so there are few layers, and a row is
+    rewritten only when the rows above it have grown with it.
+    """
+    start, taken = len(sizes) - 1, sizes[-1]
+    while start and sizes[start - 1] < fan * taken:
+        start -= 1
+        taken += sizes[start]
+    return start
+
+
 def query_tokens(df: DataFrame, query: str, rules: IndexRules = IndexRules()) -> list[str]:
     """Distinct tokens of a query text, cut by the same rules as the index."""
     one = df.sparkSession.range(1)

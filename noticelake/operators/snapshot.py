@@ -2,15 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.config import Breaker
 from noticelake.functions.dates import archive_day
+from noticelake.operators.dedupe import join_dimension
+from noticelake.session import scratch_path
 
 ADDED, UPDATED, REMOVED = "added", "updated", "removed"
 
 
+def changed_keys(
+    previous: DataFrame, current: DataFrame, columns: Sequence[str] = (), key: str = "notice_key"
+) -> DataFrame:
+    """``(key, change)`` of keys that are new, gone, or whose ``columns`` differ.
+
+    One shuffle of keys and hashes (96 bits, nulls told apart); the columns themselves stay where
+    they are. Keys must be unique per run and not null: a key that is not fails the job, found by
+    the same aggregation.
+    """
+    parts = [p for c in columns for p in (F.col(c), F.isnull(c))] or [F.lit(0)]
+
+    def side(rows: DataFrame, now: bool) -> DataFrame:
+        return rows.select(
+            key, F.lit(now).alias("now"), F.xxhash64(*parts).alias("a"), F.hash(*parts).alias("b")
+        )
+
+    per_key = side(previous, False).unionByName(side(current, True)).groupBy(key).agg(
+        F.count_if(~F.col("now")).alias("old"),
+        F.count_if("now").alias("new"),
+        ((F.min("a") != F.max("a")) | (F.min("b") != F.max("b"))).alias("differs"),
+    )
+    broken = (F.col("old") > 1) | (F.col("new") > 1) | F.col(key).isNull()
+    shown = F.coalesce(F.col(key), F.lit("NULL"))
+    change = (
+        F.when(broken, F.raise_error(F.concat(F.lit("not one notice per key: "), shown)))
+        .when(F.col("old") == 0, ADDED)
+        .when(F.col("new") == 0, REMOVED)
+        .when(F.col("differs"), UPDATED)
+    )
+    return per_key.select(key, change.alias("change")).filter("change IS NOT NULL")
+
+
 def change_feed(
     previous: DataFrame,
     current: DataFrame,
@@ -20,25 +56,19 @@ def change_feed(
     """Current rows that are new or retitled, and keys that are gone.
 
     ``change`` plus the columns of ``current``; a removed notice has only its key (and ``id``
-    where both sides have one). One full outer join; of the previous run only key, id and
-    title are read. Keys must be unique per side (``dedupe_first``), so no key is hot.
+    where both sides have one). Two phases: changed keys are found on keys and hashes of titles
+    and written, then only their rows are fetched: the keys travel to the rows while their number
+    is within the bound of ``join_dimension``, so unchanged rows meet no shuffle.
     """
-    ids = ["id"] if "id" in previous.columns and "id" in current.columns and key != "id" else []
-    old = previous.select(
-        F.col(key).alias("_key"),
-        F.col("title").alias("_title"),
-        *[F.col(c).alias(f"_{c}") for c in ids],
-    )
-    change = F.when(F.col("_key").isNull(), ADDED).when(F.col(key).isNull(), REMOVED)
-    if detect_updates:
-        change = change.when(~F.col("title").eqNullSafe(F.col("_title")), UPDATED)
-    joined = current.join(old, F.col(key) == F.col("_key"), "full_outer")
-    shown = {key: F.coalesce(key, "_key"), **{c: F.coalesce(c, f"_{c}") for c in ids}}
-    return (
-        joined.withColumn("change", change)
-        .filter("change IS NOT NULL")
-        .select("change", *[shown[c].alias(c) if c in shown else c for c in current.columns])
-    )
+    spark = current.sparkSession
+    path = scratch_path(spark, "changed")
+    changed_keys(previous, current, ["title"] if detect_updates else [], key).write.parquet(path)
+    keys = spark.read.parquet(path)
+    here = join_dimension(current, keys.filter(F.col("change") != REMOVED), key, "inner")
+    gone = keys.filter(F.col("change") == REMOVED)
+    if "id" in previous.columns and "id" in current.columns and key != "id":
+        gone = join_dimension(previous.select(key, "id"), gone, key, "inner")
+    return here.unionByName(gone, allowMissingColumns=True).select("change", *current.columns)
 
 
 def change_counts(changes: DataFrame) -> DataFrame:
