@@ -453,6 +453,11 @@ ORACLES["q28e_crawl_outcome"] = f"""WITH {_OUTCOME}
 SELECT *, (board_total - board_failures) / board_total::DOUBLE AS board_success_rate,
   (notice_total - notice_failures) / notice_total::DOUBLE AS notice_success_rate,
   1.0::DOUBLE AS detail_success_rate FROM totals"""
+ORACLES["q21d_stored_errors"] = f"""WITH {_SITE_BOARDS}
+SELECT CASE WHEN segment = 'BUILDING' THEN 'selector' ELSE 'board_list' END AS stage, board_id, board_name,
+  board_url AS url, CASE WHEN segment = 'BUILDING' THEN 'unsupported selector: tr:hover'
+    ELSE 'page not available' END AS message, false AS retryable
+FROM board WHERE segment = 'BUILDING' OR has_page = 0"""
 ORACLES["q28f_full_run"] = f"""WITH {_OUTCOME}, counts AS (
 SELECT *, (SELECT count(DISTINCT (campus, college, department_name)) FROM dep) AS department_count FROM totals)
 SELECT run_id, status, detail_total AS current_count, CASE WHEN run_id = 'r1' THEN detail_total ELSE 0 END AS added,
@@ -466,6 +471,8 @@ _STREAM = """stream AS (SELECT 'stream' AS campus, o_orderstatus AS department_i
   FROM orders)"""
 ORACLES["q25b_stream_normalize"] = f"""WITH {_STREAM}, {_dated('stream', 's')}
 SELECT title, date, source_id, id, notice_key FROM s"""
+ORACLES["q25e_exact_feed"] = """SELECT concat_ws(':', user_id, event_type, CAST(floor(value) AS BIGINT)) AS key,
+  min(event_id % 3)::BIGINT AS batch FROM events GROUP BY ALL"""
 ORACLES["q25c_stream_commit"] = f"""{_RUNS}
 SELECT 0::BIGINT AS seq, 'cold_start' AS status, count(*) AS current_count, 0::BIGINT AS previous_count,
        count(*) AS added, 0::BIGINT AS updated, 0::BIGINT AS removed FROM before_

@@ -42,7 +42,7 @@ from noticelake.sources import sitemap as sm
 from noticelake.sources.html_nodes import extract_elements
 from noticelake.sources.lake import ARCHIVE, NoticeLake
 from noticelake.sources.pages import classify_fetch, read_pages
-from noticelake.streaming.incremental import incremental_commit, new_notice_feed, normalize_stream
+from noticelake.streaming.incremental import exact_feed, incremental_commit, new_notice_feed, normalize_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -821,6 +821,20 @@ def q28e_crawl_outcome(spark, d):
     return st.with_rates(run_crawl(boards.select(*BOARDS.names), pages, config).outcome)
 
 
+@query
+def q21d_stored_errors(spark, d):
+    """Errors of a run as the lake holds them: listings without a page, and boards with a row selector nobody can read."""
+    config, seeds, pages, _ = _site_config(spark, d)
+    boards = run_map(seeds, pages, config).boards.select(*BOARDS.names)
+    broken = F.when(F.contains("row_selector", F.lit("td-subject")), "tr:hover").otherwise(F.col("row_selector"))
+    boards = _stored(spark, boards.withColumn("row_selector", broken))
+    result = run_crawl(boards, pages, config)
+    root = scratch_path(spark, "lake")
+    commit_snapshot(spark, result.notices, root, "r1", v.AS_OF, errors=result.errors)
+    return NoticeLake(spark, root).read_errors().select(
+        "stage", "board_id", "board_name", "url", "message", "retryable")
+
+
 @query
 def q28f_full_run(spark, d):
     config, seeds, pages, _ = _site_config(spark, d)
@@ -857,6 +871,20 @@ def q25_stream_new_notices(spark, d):
     return spark.read.schema("user_id long, event_type string").parquet(f"{work}/out")
 
 
+@query
+def q25e_exact_feed(spark, d):
+    """Keys with the batch that first had them; three batches that repeat keys in themselves and of each other."""
+    work = scratch_path(spark, "stream")
+    events = v.table(spark, d, "events").select("event_id", F.concat_ws(
+        ":", "user_id", "event_type", F.floor("value").cast("string")).alias("key"))
+    for batch in range(3):
+        events.filter(F.col("event_id") % 3 == batch).write.mode("append").parquet(f"{work}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{work}/in")
+        stream.writeStream.foreachBatch(exact_feed(f"{work}/out", f"{work}/seen", "key")).option(
+            "checkpointLocation", f"{work}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("key string, batch long").parquet(f"{work}/out")
+
+
 @query
 def q25b_stream_normalize(spark, d):
     work = scratch_path(spark, "stream")

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from noticelake.config import Breaker, Cleaning, CommitOptions, IndexRules
@@ -17,6 +15,8 @@ from noticelake.functions.text import clean_date, clean_title
 from noticelake.operators.dedupe import first_per_key
 from noticelake.operators.rows import identify
 from noticelake.plans.commit import commit_snapshot
+from noticelake.session import scratch_path
+from noticelake.streaming.seen import SeenKeys
 
 
 def normalize_stream(raw: DataFrame, cleaning: Cleaning) -> DataFrame:
@@ -98,19 +98,12 @@ def exact_new_notices(
     before: int | None = None,
 ) -> DataFrame:
     """Rows of a batch whose key the ``seen_path`` table lacks, each key once; for use in
-    ``foreachBatch`` where no horizon may be assumed. An absent table has seen nothing. With
-    ``before`` only keys of earlier batches count."""
+    ``foreachBatch`` where no horizon may be assumed, so late rows count like all others. An absent
+    table has seen nothing. With ``before`` only keys of earlier batches count. A null key is never
+    taken for a seen one."""
     fresh = first_per_key(batch, [key], [F.xxhash64(*batch.columns)])
-    schema = T.StructType(batch.select(key).schema.fields + [T.StructField("batch", T.LongType())])
-    try:
-        seen = spark.read.schema(schema if before is not None else batch.select(key).schema).parquet(seen_path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return fresh
-    if before is not None:
-        seen = seen.filter(F.col("batch") < before)
-    return fresh.join(seen.select(key), key, "left_anti")
+    known = SeenKeys(spark, seen_path, batch.schema[key]).known(fresh.select(key), before)
+    return fresh.join(known, key, "left_anti").select(*batch.columns)
 
 
 def exact_feed(out_path: str, seen_path: str, key: str = "notice_key") -> Callable[[DataFrame, int], None]:
@@ -122,10 +115,15 @@ def exact_feed(out_path: str, seen_path: str, key: str = "notice_key") -> Callab
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = exact_new_notices(spark, batch, seen_path, key, before=batch_id)
+        # Read twice below, so a batch from a source that cannot be read twice is written first.
+        path = scratch_path(spark, "batch")
+        batch.write.parquet(path)
+        rows = spark.read.schema(batch.schema).parquet(path)
+        seen = SeenKeys(spark, seen_path, batch.schema[key])
+        seen.merge(batch_id)
         out = f"{out_path}/batch={batch_id}"
-        fresh.write.mode("overwrite").parquet(out)
-        spark.read.schema(fresh.schema).parquet(out).select(key).write.mode("overwrite").parquet(
-            f"{seen_path}/batch={batch_id}")
+        exact_new_notices(spark, rows, seen_path, key, before=batch_id).write.mode("overwrite").parquet(out)
+        added = spark.read.schema(batch.schema).parquet(out).select(key).filter(F.col(key).isNotNull())
+        seen.add(added, batch_id, batch_id + 1)
 
     return write
