@@ -4,14 +4,16 @@ A text's shares of character classes and its shares of common words are compared
 of each language by the Jensen-Shannon distance; the nearest language counts. References come
 from all documents of the table that pass the base rules and the length guards: per class the
 median share, per word the mean share. Texts below a guard are not judged by that histogram.
+Languages without a list of common words have references of classes alone, for the documents that
+name them, once ``MIN_DOCUMENTS`` such documents are there.
 
 Repeated windows of five words are found by sorting 64-bit hashes of the windows within the row,
 so nothing is shuffled but the sums of the references.
 
 Defined results: a null text has no words and fails the base rules; texts are read whole; ties do
-not arise; repeated rows are judged alike; documents without a listed lang count in no reference,
-and without any reference only the base rules judge; an empty table gives an empty result; extra
-columns are ignored.
+not arise; repeated rows are judged alike; documents without a lang count in no reference and are
+judged by the listed languages; documents of a lang without a reference, and all where there is none,
+are judged by the base rules alone; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ MAX_REPEATED = 20  # percent
 #: Guards and largest distances of the two histograms.
 CLASS_GUARD, CLASS_DISTANCE = 30, 0.2
 WORD_GUARD, WORD_DISTANCE = 100, 0.45
+MIN_DOCUMENTS = 50
 WINDOW = 5
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -113,18 +116,19 @@ def _total(array: str) -> Column:
 
 
 def references(counts: DataFrame) -> dict[str, tuple[list[float], dict[int, float]]]:
-    """Per listed language the shares of the classes and of the common words.
+    """Per language the shares of the classes and, where it is listed, of the common words.
 
     ``counts`` is read several times, so it should be a written table. One row per language, or
-    per language and word, reaches the driver.
+    per listed language and word, reaches the driver.
     """
-    known = counts.filter(F.col("lang").isin(sorted(COMMON)) & ~F.col("base_failed"))
+    listed = F.col("lang").isin(sorted(COMMON))
+    known = counts.filter(F.col("lang").isNotNull() & ~F.col("base_failed"))
     shares = known.filter(F.col("n_words") >= CLASS_GUARD).withColumn("total", _total("classes"))
     k = len(CLASSES) + 1
-    medians = shares.groupBy("lang").agg(*(
+    medians = shares.groupBy("lang").agg(F.count("*").alias("documents"), *(
         F.percentile_approx(F.get("classes", F.lit(i)) / F.col("total"), 0.5, 10_000).alias(f"c{i}")
-        for i in range(k))).collect()
-    long = known.filter(F.col("n_words") >= WORD_GUARD)
+        for i in range(k))).filter(listed | (F.col("documents") >= MIN_DOCUMENTS)).collect()
+    long = known.filter(listed & (F.col("n_words") >= WORD_GUARD))
     sizes = {r["lang"]: r["n"] for r in long.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     words = long.select("lang", "n_words", F.inline("common")).groupBy("lang", "bin").agg(
         F.sum(F.col("n") / F.col("n_words")).alias("share")).collect()
@@ -173,13 +177,26 @@ def judged(docs: DataFrame) -> DataFrame:
     total = F.greatest(_total("classes"), F.lit(1)).cast("double")
     shares = [F.get("classes", F.lit(i)) / total for i in range(len(CLASSES) + 1)]
     judged_by = []
-    for lang in sorted(found):
+    for lang in sorted(set(found) & set(COMMON)):
         classes, words = found[lang]
         by_class = F.when(F.col("n_words") >= CLASS_GUARD, class_distance(shares, classes) / CLASS_DISTANCE)
         by_word = (F.when(F.col("n_words") >= WORD_GUARD, word_distance(words) / WORD_DISTANCE)
                    if words else far)
         judged_by.append(F.greatest(F.coalesce(by_class, F.lit(0.0)), F.coalesce(by_word, F.lit(0.0))))
-    distance = judged_by[0] if len(judged_by) == 1 else F.least(*judged_by) if judged_by else F.lit(0.0)
+    if judged_by:
+        # A lang that is not listed is looked up: the expression does not grow with the languages.
+        own = F.lit(0.0)
+        if others := sorted(set(found) - set(COMMON)):
+            table = F.create_map(*(F.lit(x) for lang in others for x in (lang, found[lang][0])))
+            mine = F.try_element_at(table, F.col("lang"))
+            parts = [_part(p, F.get(mine, F.lit(i))) for i, p in enumerate(shares)]
+            far = F.sqrt(F.greatest(sum(parts, F.lit(0.0)) / 2, F.lit(0.0))) / CLASS_DISTANCE
+            own = F.when(mine.isNotNull() & (F.col("n_words") >= CLASS_GUARD), far).otherwise(0.0)
+        unlisted = F.col("lang").isNotNull() & ~F.col("lang").isin(sorted(COMMON))
+        distance = F.least(*judged_by) if len(judged_by) > 1 else judged_by[0]
+        distance = F.when(unlisted, F.least(distance, own)).otherwise(distance)
+    else:
+        distance = F.lit(0.0)
     return counts.withColumn("distance", distance).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("distance") <= 1.0)).alias("kept"), "distance")

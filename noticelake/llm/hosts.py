@@ -48,7 +48,7 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Column]:
-    """The longest fitting rule and its verdict. Rules are a policy list, short by nature."""
+    """The longest fitting rule and its verdict, for a short list. ``with_rules`` takes tables of any size."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, start, says in sorted(rules, key=lambda r: (len(r[0] + r[1]), r)):
         fits = ((host == name) | F.endswith(host, F.lit("." + name))) & F.startswith(path, F.lit(start))
@@ -56,6 +56,34 @@ def rule_of(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Colu
     return rule, verdict
 
 
+def with_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``urls`` (stored, with host and path) and the longest fitting ``rule`` with what it ``says``.
+
+    ``rules`` is a table (host, path, verdict). Tails of a host, no longer in labels than the longest rule
+    host, meet the different path lengths of the rules of that tail; prefixes of these lengths then meet the
+    rules themselves. So a url makes a row per tail and length that occurs, never one per rule. Of equally
+    long rules the one that sorts last wins; rules with a null fit nothing; a rule may be listed twice.
+    """
+    rules = stored(rules.select("host", "path", "verdict").na.drop().distinct(), "rules")
+    widest = rules.agg(F.max(F.size(F.split("host", r"\."))).alias("n")).first()["n"]
+    if widest is None:
+        none = F.lit(None).cast("string")
+        return urls.withColumn("rule", none).withColumn("says", none)
+    lengths = rules.groupBy(F.col("host").alias("tail")).agg(F.collect_set(F.length("path")).alias("lengths"))
+    places = urls.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(widest))), lambda n: F.array_join(
+        F.slice(labels, F.size(labels) - n + 1, n), "."))
+    asked = places.select("host", "path", F.explode(tails).alias("tail")).join(lengths, "tail").select(
+        "host", "path", "tail", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    asked = asked.withColumn("start", F.substring("path", F.lit(1), F.col("n")))
+    listed = rules.select(F.col("host").alias("tail"), F.col("path").alias("start"), "verdict")
+    order = F.struct(F.length("tail") + F.length("start"), "tail", "start", "verdict")
+    best = asked.join(listed, ["tail", "start"]).groupBy("host", "path").agg(
+        F.max_by(F.struct(F.concat("tail", "start").alias("rule"), F.col("verdict").alias("says")), order).alias("best"))
+    return urls.join(best, ["host", "path"], "left").select(*urls.columns, "best.rule", "best.says")
+
+
 def word_counts(pages: DataFrame) -> DataFrame:
     """word, n: ASCII words in the visible text of all pages."""
     visible = F.lower(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "))
@@ -114,12 +142,18 @@ def _log_ratios(tokens: DataFrame) -> DataFrame:
     ).alias("llr"))
 
 
-def judged(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict and the score of naive Bayes (above 0: block)."""
+def judged(pages: DataFrame, rules: list[Rule] | DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict and the score of naive Bayes (above 0: block).
+
+    A short list of rules becomes conditions; a table of rules (host, path, verdict) is joined.
+    """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    rule, says = rule_of(RULES if rules is None else rules, F.col("host"), F.col("path"))
-    urls = stored(urls.withColumn("rule", rule).withColumn("says", says), "urls")
+    if isinstance(rules, DataFrame):
+        urls = stored(with_rules(stored(urls, "parts"), rules), "urls")
+    else:
+        rule, says = rule_of(RULES if rules is None else rules, F.col("host"), F.col("path"))
+        urls = stored(urls.withColumn("rule", rule).withColumn("says", says), "urls")
     votes = [F.coalesce(F.sum(F.when(F.col("says") == v, 1).otherwise(0)), F.lit(0)).alias(v)
              for v in ("allow", "block")]
 

@@ -1,11 +1,13 @@
 """Operators 6, 7 and 10 against plain Python."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
 import samples
 from oracle import connect, differences
+from pyspark.sql import functions as F
 
 from noticelake.llm import divergence, hosts, queries, warc
 from noticelake.llm.repeats import stored
@@ -94,6 +96,28 @@ def test_quality_labels_agree(spark):
     assert sum(good) / len(good) > 0.98 and sum(junk) / len(junk) < 0.2
 
 
+RUSSIAN = "вчера вечером городском саду играл оркестр многие жители пришли послушать старые песни дом река зима".split()
+ENGLISH = "the old house on a hill was sold to young family from city days of spring and river winter".split()
+
+
+def test_languages_without_a_word_list(spark):
+    r = random.Random(8)
+
+    def row(i, words, lang, count=60):
+        text = " ".join(r.choice(words) for _ in range(count)) + "."
+        return (i, text, lang, *samples.rows()[0][3:])
+
+    def kept(rows):
+        return {x.doc_id: x.kept for x in divergence.judged(samples.frame(spark, rows)).collect()}
+
+    rows, russian = [row(i, ENGLISH, "en") for i in range(20)], row(100, RUSSIAN, "ru")
+    assert kept([*rows, russian])[100]  # no reference: the base rules judge
+    junk = row(300, [f"<{i}|{i}>%%$$##" for i in range(400)], "ru")
+    got = kept([*rows, *(row(200 + i, RUSSIAN, "ru") for i in range(50)), russian, junk, row(101, RUSSIAN, None)])
+    assert got[100] and all(got[i] for i in range(200, 250)) and all(got[i] for i in range(20))
+    assert not got[300] and not got[101]  # far from its reference; without a lang the listed ones judge
+
+
 URLS = [
     (1, "http://Example.COM/en/x"), (2, "https://www.example.com/en/x?y#z"), (3, "http://a.net/es/1"), (4, "http://a.net/es"),
     (5, "http://com"), (6, "http://com/"), (7, None), (8, "no scheme"), (9, "ftp://xcom/"), (10, "http://b.org?q=/en/"),
@@ -129,6 +153,40 @@ def test_rules_and_urls(spark):
     assert hosts.judged(pages(spark, [])).count() == 0
 
 
+def test_a_table_of_rules_equals_the_list(spark):
+    columns = ["page_id", "host", "path", "rule", "verdict", "score"]
+    table = spark.createDataFrame([*hosts.RULES, hosts.RULES[0], (None, "/", "block"), ("net", None, "allow")],
+                                  "host string, path string, verdict string")
+    data = pages(spark, URLS)
+    want, got = (Counter(tuple(r[c] for c in columns) for r in hosts.judged(data, x).collect()) for x in (None, table))
+    assert got == want
+    none = hosts.judged(data, table.limit(0)).collect()
+    assert len(none) == len(URLS) and {(r.rule, r.verdict) for r in none} == {(None, "allow")}
+
+
+def test_100_000_rules(spark):
+    table = spark.range(100_000).select(
+        F.concat(F.lit("h"), F.col("id") % 5_000, F.lit(".org")).alias("host"),
+        F.concat(F.lit("/"), F.repeat(F.lit("d/"), (F.col("id") % 7).cast("int")), F.col("id")).alias("path"),
+        F.when(F.col("id") % 3 == 0, "allow").otherwise("block").alias("verdict"))
+    rules = [tuple(r) for r in table.collect()]
+    urls = [(i, f"http://{'www.' * (i % 3)}{h}{p}{'x/y' * (i % 2)}") for i, (h, p, _) in enumerate(rules[::500])]
+    stem = spark.createDataFrame([(i, *split_url(u)) for i, u in urls], "page_id long, host string, path string")
+    found = hosts.with_rules(stem, table)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = {r.page_id: (r.rule, r.says) for r in found.collect()}
+    by_host = defaultdict(list)
+    for h, p, says in rules:
+        by_host[h].append((len(h + p), h, p, says))
+    for i, u in urls:
+        host, path = split_url(u)
+        fits = [r for h in (host, host.removeprefix("www."), host.removeprefix("www.www.")) for r in by_host.get(h, [])
+                if path.startswith(r[2])]
+        best = max(fits)
+        assert got[i] == (best[1] + best[2], best[3])
+
+
 def viterbi(piece, counts):
     total = sum(counts.values())
 
@@ -224,8 +282,6 @@ def test_revisits_of_odd_records(spark):
 
 
 def test_asof_against_a_scan(spark):
-    import random
-
     r = random.Random(4)
     data = []
     for i in range(400):
