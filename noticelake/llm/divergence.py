@@ -183,20 +183,17 @@ def judged(docs: DataFrame) -> DataFrame:
         by_word = (F.when(F.col("n_words") >= WORD_GUARD, word_distance(words) / WORD_DISTANCE)
                    if words else far)
         judged_by.append(F.greatest(F.coalesce(by_class, F.lit(0.0)), F.coalesce(by_word, F.lit(0.0))))
-    if judged_by:
-        # A lang that is not listed is looked up: the expression does not grow with the languages.
-        own = F.lit(0.0)
-        if others := sorted(set(found) - set(COMMON)):
-            table = F.create_map(*(F.lit(x) for lang in others for x in (lang, found[lang][0])))
-            mine = F.try_element_at(table, F.col("lang"))
-            parts = [_part(p, F.get(mine, F.lit(i))) for i, p in enumerate(shares)]
-            far = F.sqrt(F.greatest(sum(parts, F.lit(0.0)) / 2, F.lit(0.0))) / CLASS_DISTANCE
-            own = F.when(mine.isNotNull() & (F.col("n_words") >= CLASS_GUARD), far).otherwise(0.0)
-        unlisted = F.col("lang").isNotNull() & ~F.col("lang").isin(sorted(COMMON))
-        distance = F.least(*judged_by) if len(judged_by) > 1 else judged_by[0]
-        distance = F.when(unlisted, F.least(distance, own)).otherwise(distance)
-    else:
-        distance = F.lit(0.0)
+    # A lang that is not listed is looked up, and least() passes over the null of all others: neither a
+    # branch nor the number of languages makes the expression larger.
+    own = F.lit(0.0)
+    if others := sorted(set(found) - set(COMMON)):
+        table = F.create_map(*(F.lit(x) for lang in others for x in (lang, found[lang][0])))
+        mine = F.try_element_at(table, F.col("lang"))
+        parts = [_part(p, F.get(mine, F.lit(i))) for i, p in enumerate(shares)]
+        far = F.sqrt(F.greatest(sum(parts, F.lit(0.0)) / 2, F.lit(0.0))) / CLASS_DISTANCE
+        own = F.when(mine.isNotNull() & (F.col("n_words") >= CLASS_GUARD), far).otherwise(0.0)
+    unlisted = F.when(~F.col("lang").isin(sorted(COMMON)), own)
+    distance = F.least(*judged_by, unlisted) if judged_by else F.lit(0.0)
     return counts.withColumn("distance", distance).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("distance") <= 1.0)).alias("kept"), "distance")
