@@ -458,6 +458,10 @@ SELECT CASE WHEN segment = 'BUILDING' THEN 'selector' ELSE 'board_list' END AS s
   board_url AS url, CASE WHEN segment = 'BUILDING' THEN 'unsupported selector: tr:hover'
     ELSE 'page not available' END AS message, false AS retryable
 FROM board WHERE segment = 'BUILDING' OR has_page = 0"""
+ORACLES["q28h_missing_links"] = f"""WITH {_SITE_ROWS}
+SELECT campus, college, department_id, board_id, count(*) AS row_total,
+  count(*) FILTER (o_orderkey % 10 = 5) AS link_missing FROM listed
+GROUP BY campus, college, department_id, board_id, board_url HAVING count(*) FILTER (o_orderkey % 10 = 5) > 0"""
 ORACLES["q28f_full_run"] = f"""WITH {_OUTCOME}, counts AS (
 SELECT *, (SELECT count(DISTINCT (campus, college, department_name)) FROM dep) AS department_count FROM totals)
 SELECT run_id, status, detail_total AS current_count, CASE WHEN run_id = 'r1' THEN detail_total ELSE 0 END AS added,

@@ -835,6 +835,18 @@ def q21d_stored_errors(spark, d):
         "stage", "board_id", "board_name", "url", "message", "retryable")
 
 
+@query
+def q28h_missing_links(spark, d):
+    """Boards whose rows lack a link: every notice with a number that ends in 5 has lost its href."""
+    config, seeds, pages, _ = _site_config(spark, d)
+    path = scratch_path(spark, "unlinked")
+    lost = F.regexp_replace("html", r'href="([^"]*view/[0-9]*5)"', "name='$1'")
+    pages.withColumn("html", lost).write.parquet(path)
+    pages = read_pages(spark, path)
+    boards = _stored(spark, run_map(seeds, pages, config).boards.select(*BOARDS.names))
+    return run_crawl(boards, pages, config).missing_links.drop("board_url")
+
+
 @query
 def q28f_full_run(spark, d):
     config, seeds, pages, _ = _site_config(spark, d)

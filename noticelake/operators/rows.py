@@ -70,6 +70,9 @@ def extract_notice_rows(
         "ok",
         F.col("row_pos").isNotNull() & F.col("raw_date").isNotNull() & has_title(F.col("title")),
     )
+    # Without its attribute a link is the board itself: such rows are counted, as ids of one day may collapse.
+    missing = F.col("row_pos").isNotNull() & (F.coalesce(F.col("raw_link"), F.lit("")) == "")
+    rows = rows.withColumn("link_missing", missing)
     return rows.withColumn("link", resolve_url(F.col("board_url"), F.col("raw_link"))).drop(
         "raw_title", "raw_date", "raw_author"
     )

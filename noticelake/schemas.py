@@ -107,6 +107,7 @@ RUN_STATS = _struct(
     detail_total=L,
     detail_failures=L,
     detail_success_rate=D,
+    link_missing=L,
 )
 
 MANIFEST = _struct(
