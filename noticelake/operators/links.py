@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticelake.config import CmsPattern, Discovery, Keyword, Selectors
+from noticelake.functions.patterns import MANY, chosen, first_contained
 from noticelake.functions.urls import host, resolve_url
 from noticelake.operators.dedupe import first_per_key, join_dimension, latest_fetch
 from noticelake.functions.text import strip_ws
@@ -75,6 +76,9 @@ def dedupe_links(links: DataFrame, page_key: Sequence[str]) -> DataFrame:
 
 def match_keyword(text: Column, keywords: Sequence[Keyword]) -> Column:
     """``struct(board_id, display_name)`` of the first keyword the text contains, else NULL."""
+    if len(keywords) > MANY:
+        index = first_contained([text], [[k.keyword for k in keywords]])
+        return chosen(index, ["board_id", "display_name"], [(k.board_id, k.display_name) for k in keywords])
     return F.coalesce(
         *[
             F.when(
@@ -146,7 +150,11 @@ def find_sitemap_page(
 
 def selector_columns(s: Selectors) -> Column:
     """Selector set as a struct with the field names of the boards table."""
-    values = {
+    return F.struct(*[F.lit(v).cast("string").alias(k) for k, v in _selector_values(s).items()])
+
+
+def _selector_values(s: Selectors) -> dict[str, str | None]:
+    return {
         "row_selector": s.row,
         "title_selector": s.title,
         "date_selector": s.date,
@@ -155,16 +163,23 @@ def selector_columns(s: Selectors) -> Column:
         "attr_name": s.attr_name,
         "link_selector": s.link,
     }
-    return F.struct(*[F.lit(v).cast("string").alias(k) for k, v in values.items()])
 
 
 def detect_cms(url: Column, html: Column, patterns: Sequence[CmsPattern]) -> Column:
     """``struct(cms, selectors)`` of the first pattern whose URL part or html part is found.
 
     The URL part is case-sensitive, the html part is not. The list is configuration, so it is
-    a chain of conditions and needs no join.
+    a chain of conditions and needs no join; a long list is an automaton.
     """
     lowered = F.lower(html)
+    if len(patterns) > MANY:
+        index = first_contained([url, lowered], [
+            [p.url_contains for p in patterns],
+            [p.html_contains if p.html_contains is None else p.html_contains.lower() for p in patterns]])
+        names = list(_selector_values(patterns[0].selectors))
+        found = chosen(index, ["cms", *names], [(p.name, *_selector_values(p.selectors).values()) for p in patterns])
+        layout = F.struct(found["cms"].alias("cms"), F.struct(*[found[n].alias(n) for n in names]).alias("selectors"))
+        return F.when(index.isNotNull(), layout)
     found = []
     for p in patterns:
         hit = F.lit(False)
