@@ -196,3 +196,30 @@ def test_fetch_rules(spark):
         ("e", "body_too_large", False), ("f", "not_modified", False), ("g", "upstream_http", False),
         ("h", "upstream_http", True), ("i", "upstream_http", True), ("j", "transport", True), ("k", "transport", False),
         ("l", "ok", False)]
+
+
+def test_found_pages_are_dealt(spark, tmp_path):
+    """Pages of one kind that are stored side by side are parsed by many tasks."""
+    from noticelake.operators.dedupe import with_html
+    from noticelake.session import deals
+
+    n = 400
+    rows = [(i, f"http://d{i}.ac.kr/", f"<a href=/b{i}>b</a>") for i in range(n)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    owners = spark.createDataFrame([(u, i) for i, u, _ in rows], "home string, owner long")
+    for bound in (200_000, 10):
+        found = with_html(owners, pages, "home", max_rows=bound)
+        assert found.columns == ["html", "home", "owner"]
+        assert {(r.owner, r.html) for r in found.collect()} == {(i, h) for i, _, h in rows}
+        counts = [len(x) for x in found.rdd.glom().collect()]
+        assert len(counts) == deals(spark) and max(counts) < n / 4
+
+
+def test_unwanted_links_keep_their_positions(spark):
+    html = "<a href='#'>x</a><a>no</a><a href=/b>y<b>z</b></a><a href>e</a>"
+    page = spark.createDataFrame([(1, "http://a.kr/", html)], "page_id long, url string, html string")
+    every = [tuple(r) for r in ln.extract_links(page).select("pos", "raw_text", "href", "link_url").collect()]
+    assert every == [(0, "x", "#", "http://a.kr/#"), (1, "yz", "/b", "http://a.kr/b"), (2, "e", "", "http://a.kr/")]
+    some = ln.extract_links(page, wanted=F.col("href") != "#").select("pos", "raw_text", "href", "link_url")
+    assert [tuple(r) for r in some.collect()] == every[1:]

@@ -183,3 +183,22 @@ def test_success_rate(spark):
     frame = spark.createDataFrame([(0, 0), (233, 2)], "t long, f long")
     got = [r[0] for r in frame.select(success_rate(F.col("t"), F.col("f"))).collect()]
     assert got[0] == 0.0 and abs(got[1] - 231 / 233) < 1e-12
+
+
+def test_short_ways_of_resolving(spark, monkeypatch):
+    """Plain links that skip the general way get what it gives."""
+    bases = ["http://d.ac.kr", "http://d.ac.kr/", "https://d.ac.kr/a/b", "http://d.ac.kr/a//b/?x=/y/", "http://d.ac.kr/a/..",
+             "http://d.ac.kr/../a/b", "http://d.ac.kr:80/a/", "http://u@d.ac.kr/a/", "HTTP://D.ac.kr/a/", "http://d.ac.kr/a b/c",
+             "http://d.ac.kr/a/b#/c/", "http://d.ac.kr/a\\b/c", "mailto:x", "http:///a", "", None, " http://d.ac.kr/a/ "]
+    hrefs = ["sitemap", "a/b", "a//b/", "a?b=c:d", "./a", "../a", "a/../b", "a/.b", ".a", "a.", "a:b", "x?", "?x", "", None, "#", "a#b",
+             "http://e.kr/", "http://e.kr", "http://e.kr/a/b?c=/d", "https://e.kr/a/../b", "http://e.kr/a//b", "http:x", "HTTP://E.kr/a",
+             "http://e.kr:80/a", "http://e.kr/a b", "//e.kr/a", "http:/e.kr/a", "javascript:void(0)", "a\\b", " a ", "한글", "a?q='"]
+    frame = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string")
+
+    def resolved():
+        return frame.select("b", "h", urls.resolve_url(F.col("b"), F.col("h")).alias("u")).collect()
+
+    short = resolved()
+    for name in ("_PLAIN_HREF", "_PLAIN_FAR", "_PLAIN_NEAR"):
+        monkeypatch.setattr(urls, name, "(?!)")
+    assert short == resolved()
