@@ -6,9 +6,10 @@ that may be learnt from; lower orders use continuation counts, each order its ow
 models are stored as sorted arrays of packed n-grams with one column of log-probabilities per
 language. A text gets the language with the smallest cross-entropy per character.
 
-Confidence is calibrated on at most ``SAMPLE`` documents, with counts that leave these out: an isotonic fit of "right" on the
-margin between the two best languages, and per language the largest usual cross-entropy, beyond
-which a prediction is marked as rejected.
+Confidence is calibrated on all documents that may be learnt from, each half with counts of the other
+half alone: an isotonic fit of "right" on the margin between the two best languages, and per language
+the largest usual cross-entropy, beyond which a prediction is marked as rejected. Both are fitted on
+counts per step of 1 / ``STEPS``, so what reaches the driver does not grow with the documents.
 
 Every n-gram of the corpus stays in the model. What a task holds is bounded all the same: where the
 tables have more than ``CELLS`` entries they are cut by the last character but one, which n-grams,
@@ -29,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 
@@ -41,8 +42,8 @@ ORDER = 4
 #: Entries (n-grams times languages) of all orders together that a pass holds, and passes at most.
 CELLS = 16_000_000
 PASSES = 1_024
-#: Documents that calibrate the score, at most.
-SAMPLE = 20_000
+#: Steps of a margin or a cross-entropy between two whole numbers.
+STEPS = 1_024
 #: Share of calibration documents of a language whose cross-entropy counts as usual.
 USUAL = 0.999
 UNKNOWN = "und"
@@ -235,39 +236,25 @@ def _matrix(table: pa.Table, value: str, languages: list[str], empty: float):
 def train(docs: DataFrame) -> Models:
     """Models of all languages in all documents that are not held out.
 
-    The score is calibrated with models that leave out the calibration documents.
+    The score is calibrated on the same documents, each judged by models that know the other half.
     """
     tk.bound_batches(docs.sparkSession)
     learnt = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
-    chosen = F.broadcast(stored(_calibration(learnt), "calibration"))
+    half = F.crc32(F.col("doc_id").cast("string")) % 2
 
     def summed(counts: DataFrame) -> DataFrame:
         return stored(counts.groupBy("lang", "g").agg(F.sum("n").alias("n")), "grams")
 
-    def counted(rows: DataFrame) -> DataFrame:
-        return summed(rows.select("lang", "text").mapInArrow(_count, "lang string, g long, n long"))
-
-    sample = learnt.join(chosen, "doc_id", "left_semi")
-    rest, left_out = counted(learnt.join(chosen, "doc_id", "left_anti")), counted(sample)
-    models, part = _models(summed(rest.unionByName(left_out))), _models(rest)
-    if part.languages:
-        _calibrate(part, sample)
-        usual = dict(zip(part.languages, part.usual, strict=True))
-        models.margins, models.right = part.margins, part.right
-        models.usual = np.array([usual.get(x, np.inf) for x in models.languages])
+    halves = [learnt.filter(half == i).select("lang", "text") for i in (0, 1)]
+    counts = [summed(x.mapInArrow(_count, "lang string, g long, n long")) for x in halves]
+    models = _models(summed(counts[0].unionByName(counts[1])))
+    others = [_models(c) for c in reversed(counts)]
+    judged = [_judged(m, x) for m, x in zip(others, halves, strict=True) if m.languages]
+    if judged:
+        _calibrate(models, stored(reduce(DataFrame.unionByName, judged), "judged"))
     return models
 
 
-def _calibration(learnt: DataFrame) -> DataFrame:
-    """At most ``SAMPLE`` ids out of a fixed quarter of the documents, as many of each language at most."""
-    pool = learnt.filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 1).select("lang", "doc_id").distinct()
-    most = max(1, SAMPLE // max(1, pool.select("lang").distinct().count()))
-    order = F.xxhash64("doc_id")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    return pool.withColumn("rank", rank).filter(F.col("rank") <= most).select("doc_id").distinct().orderBy(
-        order, "doc_id").limit(SAMPLE)
-
-
 def _models(level: DataFrame) -> Models:
     """Models from the counts (lang, g, n) of the highest order; of several parts the first."""
     levels = [level]
@@ -359,7 +346,9 @@ def _of(batch: pa.RecordBatch, languages: int):
     return sums, batch.column("n").to_numpy(), batch.column("letters").to_numpy(zero_copy_only=False)
 
 
-def _calibrate(models: Models, docs: DataFrame) -> None:
+def _judged(models: Models, docs: DataFrame) -> DataFrame:
+    """The prediction for each of ``docs`` (lang, text) that has a letter: its language, cross-entropy
+    and margin, and whether it is right."""
     names = np.array(models.languages)
 
     def emit(batches: Iterator[pa.RecordBatch]):
@@ -368,31 +357,48 @@ def _calibrate(models: Models, docs: DataFrame) -> None:
             best, lowest, margin, _, _ = Models(list(names)).predict(sums, n, letters)
             right = names[best] == np.array(batch.column("lang").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(best[letters].astype(np.int64)), pa.array(lowest[letters]),
+                [pa.array(names[best[letters]], pa.string()), pa.array(lowest[letters]),
                  pa.array(margin[letters]), pa.array(right[letters])],
                 ["best", "lowest", "margin", "right"])
 
-    found = _summed(docs.select("lang", "text"), models).drop("text").mapInArrow(
-        emit, "best long, lowest double, margin double, right boolean").toArrow()
-    best, lowest, margin, right = (found[c].to_numpy() for c in ("best", "lowest", "margin", "right"))
-    models.usual = np.array([
-        np.quantile(lowest[best == i], USUAL) * 1.05 if (best == i).any() else np.inf
-        for i in range(len(models.languages))])
-    order = np.lexsort((right, margin))
-    models.margins, models.right = _isotonic(margin[order], right[order].astype(float))
-
-
-def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising steps through (x, y), each with one right and one wrong case added."""
+    return _summed(docs.select("lang", "text"), models).drop("text").mapInArrow(
+        emit, "best string, lowest double, margin double, right boolean")
+
+
+def _calibrate(models: Models, judged: DataFrame) -> None:
+    def step(column: str):
+        return F.floor(F.col(column) * STEPS).alias("at")
+
+    entropy = judged.groupBy("best", step("lowest")).agg(F.count("*").alias("n")).orderBy("best", "at").toArrow()
+    best = np.array(entropy["best"].to_pylist())
+    at, n = (entropy[c].to_numpy() for c in ("at", "n"))
+    limits = {}
+    for name in np.unique(best):
+        mine = best == name
+        share = np.cumsum(n[mine]) / n[mine].sum()
+        limits[name] = (at[mine][np.searchsorted(share, USUAL)] + 1) / STEPS * 1.05
+    models.usual = np.array([limits.get(x, np.inf) for x in models.languages])
+    margin = judged.groupBy(step("margin")).agg(
+        F.count("*").alias("n"), F.count_if("right").alias("right")).orderBy("at").toArrow()
+    at, n, right = (margin[c].to_numpy() for c in ("at", "n", "right"))
+    models.margins, models.right = _isotonic((at + 0.5) / STEPS, right, n)
+
+
+def _isotonic(x: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising steps through ``right`` of ``n`` cases at each x, each step with one right and one wrong case added."""
+    total = int(n.sum())
+    wanted = max(1, min(50, total // 20))
+    block = (np.cumsum(n) - n) * wanted // max(1, total)
     blocks: list[list[float]] = []
-    for part in np.array_split(np.arange(len(x)), max(1, min(50, len(x) // 20))):
-        if len(part):
-            blocks.append([x[part].mean(), y[part].sum() + 1, len(part) + 2])
+    for i in np.unique(block):
+        part = block == i
+        size = n[part].sum()
+        blocks.append([(x[part] * n[part]).sum() / size, right[part].sum() + 1, size + 2])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] > blocks[-1][1] / blocks[-1][2]:
             b = blocks.pop()
             a = blocks[-1]
-            n = a[2] + b[2]
-            blocks[-1] = [(a[0] * a[2] + b[0] * b[2]) / n, a[1] + b[1], n]
+            both = a[2] + b[2]
+            blocks[-1] = [(a[0] * a[2] + b[0] * b[2]) / both, a[1] + b[1], both]
     return np.array([b[0] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 

@@ -216,3 +216,17 @@ def test_a_larger_corpus_keeps_all_ngrams_of_the_smaller(spark):
     small = docs.filter("doc_id < 1000")
     few, many = (set(language.train(x).keys[3].tolist()) for x in (small, docs))
     assert few < many
+
+
+def test_score_follows_all_documents_that_are_learnt(spark):
+    """Wrong labels lower the score wherever they stand, not only in one part of the documents."""
+    share = {i: __import__("zlib").crc32(str(i).encode()) % 5 for i in range(600)}
+    texts = {"en": "the cat sat on the mat", "de": "der hund und die katze"}
+    data = []
+    for n, i in enumerate(i for i in share if share[i] > 0):
+        lang, other = (("en", "de"), ("de", "en"))[n % 2]
+        data.append((i, f"{texts[lang]} {chr(97 + i % 26) * 3}", other if share[i] > 1 and i % 3 == 0 else lang))
+    docs = samples.frame(spark, [(*r, "s", 1, "x", 1, "k", None, 1, 2) for r in data])
+    scores = [r.score for r in language.identify(docs, language.train(docs)).collect()]
+    right = sum(share[i] == 1 or i % 3 > 0 for i, _, _ in data) / len(data)
+    assert right < 0.75 and sum(scores) / len(scores) < 0.8
