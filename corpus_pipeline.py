@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept:
 
 1. quality: documents that the classifier scores below its threshold go.
-2. near_dedup: of each group linked by a similarity of 0.8 or more over 5 words the smallest doc_id stays.
+2. near_dedup: of each group linked by SimHash fingerprints within 4 bits (operator 4), or by a similarity
+   of 0.8 or more over 5 words, the smallest doc_id stays.
 3. suffix_dedup: passages of 50 or more words that stand earlier in the corpus are cut out.
 4. decontaminate: documents that overlap a benchmark item go.
 5. pack: what is left is cut into sequences of at most 2,048 tokens.

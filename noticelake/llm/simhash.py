@@ -268,12 +268,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: of each group of similar texts the smallest doc_id.
 
-    Groups are chains of texts with a similarity of 0.8 or more over 5 words, see ``similar.py``.
-    Documents without a doc_id come before those with one. Different texts of one doc_id are judged
+    Groups are chains of links of two kinds: fingerprints within ``THRESHOLD`` bits, found by the
+    anchors above, and a similarity of 0.8 or more over 5 words, see ``similar.py``. Documents without a doc_id come before those with one. Different texts of one doc_id are judged
     each for itself; of rows that repeat both, one stays. Extra columns may have any name.
     """
     plain, named = tk.plain_names(docs)
     keyed = tk.document_key(plain).withColumn("_point", F.xxhash64(F.coalesce("text", F.lit(""))))
-    first = similar.groups(keyed).groupBy("root").agg(F.min(F.struct("first", "point")).alias("f"))
+    prints = near_duplicates(keyed, "_point").select(F.col("id").alias("u"), F.col("component").alias("v"))
+    linked = stored(prints.filter("u <> v").distinct(), "fingerprint-links")
+    first = similar.groups(keyed, known=linked).groupBy("root").agg(F.min(F.struct("first", "point")).alias("f"))
     keep = first.select(F.col("f.first").alias("_key"), F.col("f.point").alias("_point"))
     return named(keyed.join(keep, ["_key", "_point"], "left_semi").dropDuplicates(["_key", "_point"]))

@@ -241,9 +241,12 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
-def groups(keyed: DataFrame, block: int = BLOCK) -> DataFrame:
+def groups(keyed: DataFrame, block: int = BLOCK, known: DataFrame | None = None) -> DataFrame:
     """``keyed`` (_key, _point, text), a point for each different text -> ``point``, ``first``
-    (the smallest key with that text) and ``root``, a point that all of a component share."""
+    (the smallest key with that text) and ``root``, a point that all of a component share.
+
+    ``known`` are stored links (u, v) of points found another way: they count like those found here,
+    and what they join is not compared again."""
     tk.bound_batches(keyed.sparkSession)
     keyed = keyed.select("_key", "_point", "text")
     keys = keyed.withColumn("_size", F.coalesce(F.length("text"), F.lit(0)).cast("long")).mapInArrow(
@@ -268,8 +271,10 @@ def groups(keyed: DataFrame, block: int = BLOCK) -> DataFrame:
         return stored(points.select("point", "first").join(roots, points["point"] == roots["node"], "left").select(
             "point", "first", F.coalesce("root", "point").alias("root")), "roots")
 
-    found: list[DataFrame] = []
+    found: list[DataFrame] = [] if known is None else [known]
     rooted = members.withColumn("root", F.col("point"))
+    if found:
+        rooted = members.join(rooted_by(found).select("point", "root"), "point")
     for n in range(ROUNDS):
         split = rooted.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a != z")
         hubs = rooted.groupBy("band").agg(F.min_by(

@@ -306,3 +306,13 @@ def test_groups_in_blocks_of_any_size(spark, block):
     by = dict(texts)
     linked = smallest(sorted(by), lambda a, b: a // 100 == b // 100 and jaccard(by[a], by[b]) >= 0.8)
     assert all((root[a] == root[b]) == (linked[a] == linked[b]) for a in by for b in by)
+
+
+def test_pipeline_stage_takes_the_links_of_fingerprints(spark):
+    """Texts whose fingerprints are near go, also where their different stretches are not similar."""
+    often = " ".join("ab cd ef gh ij kl mn".split() * 60)
+    rows = [(i, f"{often} {' '.join(f'w{i}x{k}' for k in range(14))}") for i in range(3)]
+    rows += [(10, " ".join(f"other{k}" for k in range(80))), (11, " ".join(f"other{k}" for k in range(81)))]
+    rows += [(20, " ".join(f"third{k}" for k in range(80)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [0, 10, 20]
