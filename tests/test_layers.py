@@ -164,3 +164,25 @@ def test_counts_while_writing(spark, tmp_path):
     assert write_counted(spark.createDataFrame([], "id long"), path, **counts) == {"all_": 0, "odd": 0}
     assert write_counted(spark.range(9).filter("false").toDF("id"), path, **counts) == {"all_": 0, "odd": 0}
     assert spark.read.parquet(path).count() == 0
+
+
+def test_postings_point_to_numbers(spark, tmp_path):
+    """No posting carries the key of its notice, in a new layer or a merged one."""
+    lake = NoticeLake(spark, str(tmp_path / "lake"))
+    commit_snapshot(spark, keyed(spark, *[(str(i), f"title {i}") for i in range(20)]), lake.root, "r1", "2026-02-10", FORCE)
+    changed = keyed(spark, *[(str(i), f"other {i}") for i in range(20)])
+    row = commit_snapshot(spark, changed, lake.root, "r2", "2026-02-10", FORCE)
+    for folder in ["run=r1/new", *(at.folder for at in row["index_layers"])]:
+        assert spark.read.parquet(f"{lake.root}/index/{folder}/postings").columns == ["token", "doc"]
+    assert rows(lake.read_index(), "token", "notice_key", "id") == postings_of(changed)
+
+
+def test_a_first_run_compares_nothing(spark, tmp_path):
+    lake = NoticeLake(spark, str(tmp_path / "lake"))
+    row = commit_snapshot(spark, numbered(spark, 7), lake.root, "r1", "2026-02-10")
+    assert (row["added"], row["updated"], row["removed"]) == (7, 0, 0)
+    assert {r["change"] for r in lake.read_changes().collect()} == {"added"}
+    assert "Exchange" not in plan(sn.all_added(lake.read_snapshot()))
+    lost = notices(spark, dict(id="x", notice_key=None, title="t"), dict(id="y", notice_key="y"))
+    with pytest.raises(PySparkException, match="not one notice per key"):
+        commit_snapshot(spark, lost, str(tmp_path / "other"), "r1", "2026-02-10")
