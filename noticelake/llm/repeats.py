@@ -16,8 +16,9 @@ runs than windows, and equal windows always share the anchor's name.
    their first places are extended left and right to single windows, which are compared by
    two 64-bit hashes of all their words.
 
-No step emits pairs, and no group is gathered in one task. Joins on hot keys are plain shuffle
-joins, which Spark cuts where they are skewed.
+No step emits pairs, and no group is gathered in one task. Runs with very many copies are looked up in a
+bounded table that every task holds, and adjacent ones leave it as one row; other joins on hot keys are plain
+shuffle joins, which Spark cuts where they are skewed.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ GROUPS = "g long, k long, s int, n int, as array<long>, cs array<long>, ss array
 #: those at its ends differ from copy to copy, so groups must be short to lie inside it.
 GROUP = 4
 
+#: A run with so many copies is looked up inside the tasks instead of joined, at most so many different ones;
+#: any others are joined.
+COMMON, MOST_COMMON = 1_000, 100_000
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here."""
@@ -198,7 +203,65 @@ def _having(bitmap, wanted: bool = True):
     return emit
 
 
-def repeated_runs(docs: DataFrame, length: int, anchors: Anchors, every: bool = False) -> DataFrame:
+def _slots(a: np.ndarray, c: np.ndarray, n: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return tk.mix(a.view(np.uint64) ^ tk.mix(c.view(np.uint64) + n.astype(np.uint64)))
+
+
+def _common(marked: DataFrame, least: int, most: int) -> dict[str, np.ndarray]:
+    """First places of the runs with the most copies, sorted by a hash of their name; one run per hash."""
+    found = marked.filter(F.col("copies") >= least).orderBy(F.desc("copies")).limit(most).select(
+        "a", "c", "n", F.col("k").alias("source"), F.col("s").alias("at")).toArrow()
+    table = {name: found[name].to_numpy() for name in found.column_names}
+    table["slot"], first = np.unique(_slots(table["a"], table["c"], table["n"]), return_index=True)
+    return {name: x if name == "slot" else x[first] for name, x in table.items()}
+
+
+def _listed(known: dict[str, np.ndarray], batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the table, and whether the runs of a batch are really there."""
+    a, c, n = (batch.column(x).to_numpy() for x in ("a", "c", "n"))
+    at = np.minimum(np.searchsorted(known["slot"], _slots(a, c, n)), len(known["slot"]) - 1)
+    return at, (known["a"][at] == a) & (known["c"][at] == c) & (known["n"][at] == n)
+
+
+def _not_listed(table):
+    @tk.tidy
+    def emit(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield batch.filter(pa.array(~_listed(table.value, batch)[1]))
+
+    return emit
+
+
+def _looked_up(table):
+    """Stretches of the runs that the table lists, but for their first places.
+
+    Runs of a group come side by side in document order, so adjacent copies with one source make one row."""
+
+    @tk.tidy
+    def emit(batches: Iterator[pa.RecordBatch]):
+        known = table.value
+        for batch in batches:
+            at, listed = _listed(known, batch)
+            k, s, n = (batch.column(x).to_numpy() for x in ("k", "s", "n"))
+            source = known["source"][at]
+            copy = listed & ((source != k) | (known["at"][at] != s))
+            k, s, n, source = k[copy], s[copy], n[copy], source[copy]
+            if not len(k):
+                continue
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1] + n[:-1]) | (source[1:] != source[:-1])
+            first = np.flatnonzero(new)
+            total = np.add.reduceat(n, first).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k[first]), pa.array(s[first]), pa.array(total), pa.array(source[first])],
+                ["k", "s", "n", "source"])
+
+    return emit
+
+
+def repeated_runs(docs: DataFrame, length: int, anchors: Anchors, every: bool = False,
+                  common: int = COMMON, most_common: int = MOST_COMMON) -> DataFrame:
     """Runs of windows whose words also start earlier in the corpus.
 
     ``docs`` has ``_key`` and ``text``. Earlier means a smaller key, or the same key and an
@@ -206,7 +269,9 @@ def repeated_runs(docs: DataFrame, length: int, anchors: Anchors, every: bool =
     an earlier document with these words). With ``every`` also ``over``: stretches of windows
     (``o`` from ``s`` on, ``n``) that stand still earlier, and where. A copied group points to
     its first place, whose runs may be copies, and their first places may hold repeated windows;
-    so the smallest source of all that lists a window is the first document that has it.
+    so the smallest source of all that lists a window is the first document that has it. Without
+    ``every``, copies of at most ``most_common`` runs that have ``common`` or more are looked up inside
+    the tasks, and a row may stand for several adjacent runs.
     """
     place = ["q"] if every else []
     spark = docs.sparkSession
@@ -239,9 +304,12 @@ def repeated_runs(docs: DataFrame, length: int, anchors: Anchors, every: bool =
     first = marked.filter("copies > 1").select(
         "a", "c", "n", F.col("k").alias("source"), F.col("s").alias("at")
     )
-    copies = runs.join(first, ["a", "c", "n"]).filter(
-        (F.col("k") != F.col("source")) | (F.col("s") != F.col("at"))
-    )
+    shape, looked_up = ["k", "s", "n", "source"], None
+    if not every and len((table := _common(marked, common, most_common))["slot"]):
+        table = spark.sparkContext.broadcast(table)
+        looked_up = runs.mapInArrow(_looked_up(table), "k long, s int, n int, source long")
+        first = first.mapInArrow(_not_listed(table), first.schema)
+    copies = runs.join(first, ["a", "c", "n"]).filter(other)
 
     closer = marked.filter("mixed").select("k", "s", "n", *place)
     wanted = spark.sparkContext.broadcast(bitmap_of(closer, "k"))
@@ -261,9 +329,9 @@ def repeated_runs(docs: DataFrame, length: int, anchors: Anchors, every: bool =
     edges = windows.join(firsts, ["w", "v"]).filter(F.struct("k", "s") != F.col("f")).select(
         "k", "s", F.lit(1).alias("n"), F.col("f.k").alias("source"), *(["r", "q"] if every else [])
     )
-    shape = ["k", "s", "n", "source"]
     if not every:
-        return whole.unionByName(copies.select(shape)).unionByName(edges)
+        found = whole.unionByName(copies.select(shape)).unionByName(edges)
+        return found if looked_up is None else found.unionByName(looked_up)
 
     edges = stored(edges, "edges")
     within = edges.groupBy(F.col("k").alias("source"), F.col("r").alias("at")).agg(F.collect_list(F.struct(

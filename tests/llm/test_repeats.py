@@ -10,7 +10,7 @@ import samples
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from noticelake.llm import recompression, suffixes
+from noticelake.llm import recompression, repeats, suffixes
 from noticelake.llm import tokens as tk
 from noticelake.llm.bitmaps import bitmap_of, maybe_in
 
@@ -129,3 +129,35 @@ def test_sources_of_suffix_dedup(spark):
         assert (row.start, row.end) == (min(x.start for x in row.sources), max(x.end for x in row.sources))
         got |= {(row.doc_id, s): x.doc_id for x in row.sources for s in range(x.start, x.end - 49)}
     assert got == want and len(set(want.values())) > 5
+
+
+def test_copies_of_common_runs_are_not_joined(spark):
+    """Documents with one passage in common: its runs are looked up, and adjacent ones make one row."""
+    passage = " ".join(f"shared{i}" for i in range(400))
+    rows = [(i, f"{' '.join(f'own{i}x{j}' for j in range(60))} {passage} end{i}") for i in range(40)]
+    rows += [(100, passage), (101, passage), (102, None), (103, "")]
+    docs = spark.createDataFrame(rows, "_key long, text string")
+
+    def spans(runs):
+        return {(r["_key"], *x) for r in repeats.word_spans(runs, 50).collect() for x in r["_spans"]}
+
+    joined = repeats.repeated_runs(docs, 50, suffixes.minimisers, common=10**6)
+    want = spans(joined)
+    assert want == {(i, 60, 460) for i in range(1, 40)} | {(100, 0, 400), (101, 0, 400)}
+    # All common runs in the table, one of them, and none but those with nearly all documents.
+    for least, most in ((2, 1000), (2, 1), (40, 1000)):
+        found = repeats.repeated_runs(docs, 50, suffixes.minimisers, common=least, most_common=most)
+        assert spans(found) == want
+        assert found.join(docs, found.k == docs["_key"]).filter("source >= k AND k <> 0").count() == 0
+    looked_up = repeats.repeated_runs(docs, 50, suffixes.minimisers, common=2)
+    assert looked_up.count() < joined.count()
+
+
+def test_names_with_one_hash_are_joined(spark, monkeypatch):
+    """Only one run per hash is in the table; the others take the join."""
+    docs = samples.frame(spark).selectExpr("coalesce(doc_id, -1) AS _key", "text").groupBy("_key").agg({"text": "max"})
+    docs = docs.toDF("_key", "text")
+    want = sorted(repeats.word_spans(repeats.repeated_runs(docs, 20, recompression.symbols), 20).collect())
+    monkeypatch.setattr(repeats, "_slots", lambda a, c, n: np.zeros(len(a), np.uint64))
+    found = repeats.repeated_runs(docs, 20, recompression.symbols, common=2)
+    assert sorted(repeats.word_spans(found, 20).collect()) == want
