@@ -216,6 +216,25 @@ def test_found_pages_are_dealt(spark, tmp_path):
         assert len(counts) == deals(spark) and max(counts) < n / 4
 
 
+def test_a_crawl_looks_for_its_pages_once(spark, monkeypatch):
+    """Boards with and without a page come from one search for the last fetches; no board is lost or doubled."""
+    from noticelake.operators import dedupe
+    from noticelake.plans import crawl
+    from noticelake.plans.crawl import attach_pages
+
+    searches, search = [], dedupe.latest_pages
+    monkeypatch.setattr(dedupe, "latest_pages", lambda *given: searches.append(1) or search(*given))
+    pages = spark.createDataFrame(
+        [(1, "u1", "old"), (3, "u1", "new"), (2, "u2", None), (4, None, "x"), (5, "u9", "y")],
+        "page_id long, url string, html string")
+    boards = spark.createDataFrame(
+        [("a", "u1"), ("b", "u1"), ("c", "u2"), ("d", "u3"), ("d", "u3"), ("e", None)], "board_id string, board_url string")
+    got = sorted((tuple(r) for r in attach_pages(boards, pages).select("board_id", "html", "page_found").collect()), key=str)
+    assert got == [("a", "new", True), ("b", "new", True), ("c", None, True), ("d", None, False), ("d", None, False),
+                   ("e", None, False)]
+    assert len(searches) == 1 and not hasattr(crawl, "without_page")
+
+
 def test_unwanted_links_keep_their_positions(spark):
     html = "<a href='#'>x</a><a>no</a><a href=/b>y<b>z</b></a><a href>e</a>"
     page = spark.createDataFrame([(1, "http://a.kr/", html)], "page_id long, url string, html string")

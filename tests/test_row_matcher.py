@@ -69,3 +69,19 @@ def test_rows_in_the_parse():
 def test_no_array_of_nodes_leaves_the_parse(spark, sf_dir):
     plan = QUERIES["q26_extract_rows"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "rsib" not in plan and "raw_title" in plan
+
+
+def test_steps_look_at_elements_of_their_tag_only():
+    page = rm._Page("<table>" + "<tr><td>x<td><a class=t href=/1>y</a></tr>" * 200 + "</table>")
+    page.classes = seen = Seen(page.classes)
+    assert len(rm.select("table tr:has(a.t) a.t", page)) == 200
+    # 400 cells, 200 rows and the table are never asked for a class; each link twice.
+    assert seen.asked == 400
+
+
+class Seen(list):
+    asked = 0
+
+    def __getitem__(self, pre):
+        self.asked += 1
+        return super().__getitem__(pre)
