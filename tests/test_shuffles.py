@@ -1,0 +1,163 @@
+"""What a shuffle carries and how often rows meet one; batches of html; steps that read a stored table instead of a scan."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from noticelake.config import SHIPPED_PATTERNS, CmsPattern, Discovery, Selectors
+from noticelake.operators import dedupe
+from noticelake.operators import links as ln
+from noticelake.operators.dedupe import dedupe_first, dedupe_stored, found_pages, html_of_found
+from noticelake.session import BATCHES, deals
+from noticelake.sources import html_nodes as hn
+from noticelake.sources.pages import read_pages
+from noticelake.sources.sitemap import nest_sitemap
+
+FETCHES = [(1, "u1", "old xe-list-board"), (3, "u1", "new YON_BOARD"), (2, "u2", None), (4, None, "yon_board"),
+           (5, "u9", "y"), (6, "a.do", "plain"), (7, "u1", "plain"), (None, "u7", "n")]
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def stored(spark, tmp_path, frame, name):
+    frame.write.parquet(f"{tmp_path}/{name}")
+    return spark.read.schema(frame.schema).parquet(f"{tmp_path}/{name}")
+
+
+def test_campus_rows_are_brought_together_once(spark):
+    d = spark.createDataFrame(
+        [("A", "c", "1", "n", "u", 5), ("A", "c", "1", "n", "u", 3), ("A", "", "2", "m", None, 1), ("B", "", "3", "k", "v", 0)],
+        "campus string, college string, department_id string, department_name string, department_url string, department_ord long")
+    selectors = {n: F.lit(None).cast("string").alias(n) for n in (
+        "row_selector", "title_selector", "date_selector", "author_selector", "body_selector", "attr_name", "link_selector")}
+    b = spark.createDataFrame(
+        [("A", "c", "1", "n", "u", 2, "b2"), ("A", "c", "1", "n", "u", 1, "b1"), ("A", "", "2", "m", None, 1, "lost"),
+         ("Z", "", "9", "z", "z", 1, "of no department")],
+        "campus string, college string, department_id string, department_name string, department_url string, "
+        "board_ord long, board_id string").select(
+            "*", F.lit("x").alias("board_name"), F.lit("y").alias("board_url"), *selectors.values())
+    nested = nest_sitemap(d, b)
+    assert plan(nested).count("Exchange") == 1
+    got = {r.campus: r.asDict(True) for r in nested.collect()}
+    assert set(got) == {"A", "B"}
+    # A repeated department stays repeated, in its order; a board whose key has a null belongs to none.
+    assert [(c["name"], [[x["id"] for x in y["boards"]] for y in c["departments"]]) for c in got["A"]["colleges"]] == [
+        ("c", [["b1", "b2"], ["b1", "b2"]])]
+    assert [(y["id"], y["boards"]) for y in got["A"]["departments"]] == [("2", [])]
+    assert got["B"]["colleges"] == [] and [y["id"] for y in got["B"]["departments"]] == ["3"]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_a_number_stands_for_a_layout(spark, many):
+    real = list(SHIPPED_PATTERNS)
+    absent = [CmsPattern(f"none{i}", Selectors("a", "b", "c"), html_contains=f"no such {i}") for i in range(80 if many else 0)]
+    patterns = absent[:40] + real + absent[40:]
+    pages = spark.createDataFrame(FETCHES, "page_id long, url string, html string")
+    direct = ln.detect_cms(F.col("url"), F.col("html"), patterns)
+    number = ln.cms_number(F.col("url"), F.col("html"), patterns)
+    both = pages.select("url", "html", direct.alias("direct"), number.alias("n")).withColumn(
+        "there", ln.cms_of_number(F.col("n"), patterns))
+    rows = both.collect()
+    assert all(r.direct == r.there for r in rows) and {r.n is None for r in rows} == {True, False}
+
+
+@pytest.mark.parametrize("detected", ["string", "number"])
+def test_layouts_leave_a_scan_as_numbers(spark, tmp_path, detected):
+    """Many boards: their selectors are those that few boards get, and no html is shuffled."""
+    pages = stored(spark, tmp_path, spark.createDataFrame(FETCHES, "page_id long, url string, html string"), "pages")
+    rules = Discovery()
+    boards = spark.createDataFrame(
+        [(1, "u1", None), (2, "u1", 3), (3, "u2", None), (4, "u3", None), (5, None, 1), (6, "a.do", None)],
+        "n long, board_url string, detected int")
+    if detected == "string":
+        boards = boards.withColumn("detected", ln.cms_of_number(F.col("detected"), rules.patterns)["selectors"])
+    boards = stored(spark, tmp_path, boards, "boards")
+    few, more = (ln.resolve_selectors(boards, pages, rules, max_rows=n) for n in (100, 1))
+    assert few.columns == more.columns and few.columns[:2] == ["n", "board_url"]
+    got = {r.n: (r.board_url, r.row_selector) for r in more.collect()}
+    assert sorted(map(str, few.collect())) == sorted(map(str, more.collect()))
+    of = {p.name: p.selectors.row for p in rules.patterns}
+    # The last fetch of u1 is one that no pattern knows.
+    assert got == {1: ("u1", rules.fallback.row), 2: ("u1", of["xe"]), 3: ("u2", rules.fallback.row),
+                   4: ("u3", rules.fallback.row), 5: (None, of["nx"]), 6: ("a.do", of["standard"])}
+    text = plan(more)
+    assert "LeftSemi" not in text and text.count("max_by") and "html" not in text[:text.index("Exchange")]
+
+
+def test_search_for_pages_of_many_rows(spark, monkeypatch):
+    """The same pages however many rows ask; of many, urls are neither counted apart nor joined twice."""
+    pages = spark.createDataFrame(FETCHES, "page_id long, url string, html string")
+    owners = spark.createDataFrame([("a", "u1"), ("b", "u1"), ("c", "u2"), ("d", "u3"), ("e", None), ("f", "u7")], "o string, url string")
+    timed = pages.withColumn("fetched_at", F.expr("timestamp_seconds(10 - page_id)"))
+    for table, first in ((pages, 7), (timed, 1)):
+        search, got = dedupe.latest_pages, []
+        for bound in (200_000, 1):
+            monkeypatch.setattr(dedupe, "latest_pages", lambda p, u, bound=bound: search(p, u, bound))
+            got.append(sorted((r.o, r.page_id, r.page_found) for r in found_pages(owners, table, "url").collect()))
+        monkeypatch.undo()
+        assert got[0] == got[1] == [("a", first, True), ("b", first, True), ("c", 2, True), ("d", None, False),
+                                    ("e", None, False), ("f", None, True)]
+    assert "LeftSemi" not in plan(dedupe.latest_pages(pages, owners.select("url"), 1))
+
+
+def test_tasks_follow_what_is_stored(spark):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.col("id").cast("string").alias("html")).repartition(20)
+    found = spark.range(100).select(F.col("id").alias("page_id"), "id")
+    assert deals(spark) == 32
+    joined = html_of_found(found, pages, max_rows=10)
+    assert joined.rdd.getNumPartitions() == 80 and {(r.id, r.html) for r in joined.collect()} == {(i, str(i)) for i in range(100)}
+
+
+ROWS = [("k1", 2, "b"), ("k1", 1, "a"), ("k2", 1, "c"), (None, 2, "e"), (None, 1, "d"), ("k3", 5, "f"), ("k1", 3, "g")]
+
+
+@pytest.mark.parametrize("bound", [100, 1])
+def test_only_repeated_keys_are_shuffled(spark, bound):
+    rows = spark.createDataFrame(ROWS, "notice_key string, at int, title string")
+    once = dedupe_stored(rows, order=["at"], max_rows=bound)
+    assert once.columns == rows.columns
+    assert sorted(map(str, once.collect())) == sorted(map(str, dedupe_first(rows, order=["at"]).collect()))
+    assert sorted(r.title for r in once.collect()) == ["a", "c", "d", "f"]
+
+
+def test_unique_keys_meet_no_shuffle(spark):
+    rows = spark.createDataFrame([r for r in ROWS if r[1] == 1], "notice_key string, at int, title string")
+    assert "Exchange" not in plan(dedupe_stored(rows, order=["at"]))
+
+
+def test_batches_of_html_are_small(spark, tmp_path):
+    """Pages can be megabytes: neither the reader of the files nor the parse holds thousands at once."""
+    before = {name: spark.conf.get(name) for name in BATCHES}
+    try:
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "4096")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "0")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000000")
+        spark.createDataFrame(FETCHES, "page_id long, url string, html string").write.parquet(f"{tmp_path}/p")
+        ln.extract_links(read_pages(spark, f"{tmp_path}/p"))
+        assert [int(spark.conf.get(n)) for n in BATCHES] == [512, 1_000_000, 256]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_links_of_a_page_leave_as_one_list(spark, monkeypatch):
+    """Columns beside the html are sent once per page; pages without links give no row, also between full batches."""
+    monkeypatch.setattr(hn, "FLUSH_ROWS", 3)
+    htmls = ["", None, "<a href=1>x</a>" * 5, "<p>none", "<a href=2>y</a><a>z</a>", "<a href=3>", "<p>", "<a href=4>v" * 4, ""]
+    pages = spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string").coalesce(1).select(
+        F.struct("page_id", F.lit("s").alias("s")).alias("key"), "html")
+    found = hn.rows_of_pages(pages, hn.page_links, hn.LINK)
+    assert found.columns == ["key", "pos", "raw_text", "href"] and "Generate inline" in plan(found)
+    want = [(i, *link) for i, html in enumerate(htmls) for link in hn.page_links(html)]
+    assert [(r.key.page_id, r.pos, r.raw_text, r.href) for r in found.collect()] == want
+    nothing = hn.rows_of_pages(pages.filter("html = ''"), hn.page_links, hn.LINK)
+    assert nothing.collect() == []
+
+
+def test_hosts_are_compared_as_before(spark):
+    urls = ["http://a.kr/", "http://a.kr/x", "http://a.kr", "http://a.kr:80/x", "http://A.kr/x", "https://a.kr/", "http://a.kr.b/",
+            "http://u@a.kr/", "mailto:x", None, "", "http://b.kr/http://a.kr/", "ftp://a.kr/", "http://a.kr?x", "http:///x"]
+    pairs = spark.createDataFrame([(a, b) for a in urls for b in urls], "a string, b string")
+    slow = ~F.coalesce(ln.host(F.col("a")) != ln.host(F.col("b")), F.lit(False))
+    assert pairs.filter(ln.same_host(F.col("a"), F.col("b")) != slow).collect() == []
